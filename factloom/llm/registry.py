@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import minhash, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, score, toxic) for all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, kept_doc_id) for all documents that another one stands for."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {"op5_quality": op5_quality}
+    own = (op4_minhash_near_dedup, op5_quality, op10_toxicity)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
