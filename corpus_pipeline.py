@@ -1,4 +1,10 @@
-"""From raw documents to packed training windows."""
+"""From raw documents to packed training windows: reject junk, reject toxic texts, keep one of
+each group of copies, blank out secrets, pack.
+
+Every stage works on all documents that the one before kept. The two classifiers are fitted on
+the labelled documents of the data folder, whatever the stage is given. An empty table gives
+empty results; what each stage does with nulls, repeated rows and the like its operator says.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +12,55 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import quality
+from factloom.llm import minhash, packing, quality, secret_scan, session, toxicity
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    originals = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = quality.fit_quality(originals, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """The documents that the quality classifier keeps."""
+    model = quality.fit_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return quality.keep_quality(docs, model)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality_stage)]
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that aren't toxic."""
+    model = toxicity.fit_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies."""
+    return minhash.keep_one_of_each(docs)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by marks."""
+    return secret_scan.redact_secrets(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of one length, cut from the documents one after the other."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
+]
+#: Two of the stages are trained models, which SQL can't express; tests/llm has the brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, on the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The result of all stages on the documents of sf_dir; each stage but the last is written to
+    the shared folder and read again."""
+    docs = _read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = session.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
