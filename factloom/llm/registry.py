@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, quality, secret_scan, toxicity
+from . import ann, bpe, embed_dedup, kd_shards, minhash, packing, quality, secret_scan, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,23 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_a, vec_b): all pairs of near-duplicate embeddings."""
+    return embed_dedup.range_join(table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = f"""
+SELECT DISTINCT a.vec_id AS vec_a, b.vec_id AS vec_b
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {embed_dedup.COSINE}
+"""
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, rank, neighbour_id, cosine) for all embeddings."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, rule, start, end) for all documents."""
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
@@ -33,7 +50,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = rf"""
 WITH words AS (
   SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[	
- ]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
+
+ ]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
 ), ended AS (
   SELECT doc_id, text, list_append(w, '{packing.END}') AS w, CAST(len(w) + 1 AS BIGINT) AS n FROM words WHERE len(w) > 0
 ), placed AS (
@@ -47,6 +65,21 @@ SELECT window_id, row_number() OVER (PARTITION BY window_id ORDER BY o) - 1 AS s
 """
 
 
+def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, shard, bytes) for all documents."""
+    return kd_shards.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, score, rejected) for all pages."""
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.fit_urls(url_filter.labelled_urls()))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, tokens, n_tokens, round_trip) for all documents: encoded, and decoded to compare."""
+    return bpe.encode(table(spark, sf_dir, "documents"), verify=True)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, score, toxic) for all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -60,10 +93,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    own = (op3_secret_scan, op4_minhash_near_dedup, op5_quality, op6_packing, op10_toxicity)
+    own = (op1_embedding_near_dedup, op2_ann, op3_secret_scan, op4_minhash_near_dedup, op5_quality, op6_packing, op7_kd_shards, op8_url_filter, op9_bpe, op10_toxicity)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same result, where SQL can express it."""
-    return {"op6_packing": OP6_SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op6_packing": OP6_SQL}
