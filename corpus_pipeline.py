@@ -12,7 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import minhash, packing, quality, secret_scan, session, toxicity
+from factloom import session
+from factloom.llm import minhash, packing, quality, secret_scan, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import written
+from ..session import written
 from .vectors import dimension_of, lists_of, matrix, sampled, unit, usable
 
 NEIGHBOURS = 10

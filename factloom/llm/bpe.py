@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from .text import hash_spans, slices, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -264,6 +265,7 @@ def encode(documents: DataFrame, path: str = VOCABULARY, text_col: str = "text",
     texts are encoded. Other columns are left aside. path must be readable where tasks run, or
     on the driver only: the vocabulary (about 5 MB) travels from there.
     """
+    small_batches(documents.sparkSession)
     v = load_vocabulary(path)
     shared = documents.sparkSession.sparkContext.broadcast((v.tokens, v.of_byte, v.keys, v.merged))
 
@@ -299,6 +301,7 @@ def encode(documents: DataFrame, path: str = VOCABULARY, text_col: str = "text",
 def decode(tokens: DataFrame, path: str = VOCABULARY, tokens_col: str = "tokens", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text) for every row of tokens: encode() undone. Null tokens give a null text, none
     an empty one; a null among them is an error, and so is an unknown id."""
+    small_batches(tokens.sparkSession)
     v = load_vocabulary(path)
     shared = tokens.sparkSession.sparkContext.broadcast(_binary_tokens(v))
 

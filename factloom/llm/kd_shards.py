@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import written
+from ..session import written
 
 #: Bytes of text that a shard holds at most, but for documents that no dimension tells apart.
 TARGET_BYTES = 32 << 20

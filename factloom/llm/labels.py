@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, limit: int, text_col: str = "text") -> DataFrame:
     """Up to limit labelled documents, at most half of limit from each class, as (doc_id, y, lang, text).
@@ -13,6 +15,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, limit:
     run. Labels whose doc_id or target is null are skipped; of contradicting labels for one
     doc_id the larger counts. Without a column lang it is null.
     """
+    small_batches(documents.sparkSession)
     own = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     order = F.xxhash64("doc_id")
     picked = [own.where(F.col("y") == y).orderBy(order, "doc_id").limit(limit // 2) for y in (0, 1)]

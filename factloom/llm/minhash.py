@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import written
+from ..session import small_batches, written
 from .text import U64, mix, mix_int, slices, word_hashes
 
 #: Minwise values of a document.
@@ -246,7 +246,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def near_edges(documents: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The distinct texts (rid, digest, sig), and edges (a, b) of rids that connect the groups."""
-    spark = documents.sparkSession
+    small_batches(documents.sparkSession)
     texts = documents.select(F.unhex(F.md5(F.col(text_col))).alias("digest"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     signed = texts.mapInArrow(_sign, "digest binary, sig binary").groupBy("digest").agg(F.first("sig").alias("sig"))
     # the number is drawn before the table is written, so it stays

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small_batches
 from .text import slices, utf8
 
 #: Tokens of a window.
@@ -139,6 +140,7 @@ def pack(documents: DataFrame, length: int = LENGTH, text_col: str = "text", id_
     add nothing; an empty table gives an empty result. Other columns are left aside.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = [i / ranges for i in range(1, ranges)]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small_batches
 from .labels import labelled_sample
 from .text import U64, mix, slices, word_hashes
 
@@ -141,6 +142,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMI
 
 def quality_score(spark: SparkSession, model: QualityModel, text: Column | str = "text") -> Column:
     """A Column with the score of a text as double; null for a null text, the bias for a text without words."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.weights, model.bias))  # 1 MB, whatever the data
 
     @F.arrow_udf(T.DoubleType())

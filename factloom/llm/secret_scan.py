@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small_batches
+
 _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -192,6 +194,7 @@ def scan_secrets(documents: DataFrame, text_col: str = "text", id_col: str = "do
     own; an empty table gives an empty result. Whole texts are scanned. Other columns are left
     aside.
     """
+    small_batches(documents.sparkSession)
     own = documents.select(F.col(id_col).alias("doc_id"), F.explode(_find(F.col(text_col))).alias("f"))
     return own.select("doc_id", "f.rule", "f.start", "f.end")
 
@@ -201,6 +204,7 @@ def redact_secrets(documents: DataFrame, text_col: str = "text", chars_col: str
 
     All rows and columns stay; null texts stay null and keep their number.
     """
+    small_batches(documents.sparkSession)
     text = _redact(F.col(text_col))
     out = documents.withColumn(text_col, text)
     if chars_col in documents.columns:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small_batches
 from .text import U64, lowered, mix, slices, utf8
 
 BITS = 16
@@ -132,6 +133,7 @@ def fit_url_table(labelled: DataFrame, limit: int = 100_000) -> UrlModel:
 
 def url_score(spark: SparkSession, model: UrlModel, url: Column | str = "url") -> Column:
     """A Column with the probability that a URL is to be rejected; null for a null URL."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.weights, model.bias))  # 256 KB, whatever the data
 
     @F.arrow_udf(T.DoubleType())
