@@ -279,18 +279,16 @@ def _edges(facts: Facts, flags: DataFrame, plans: list[_Plan], family: str) -> D
 
 def _uses(facts: Facts, flags: DataFrame, plans: list[_Plan]) -> DataFrame:
     users = flags.where(_any(list(dict.fromkeys(p.subject for p in plans)))).select(F.col("full_name").alias("__source"), F.col("symbol_id").alias("__source_id"), *dict.fromkeys(p.subject for p in plans))
-    conditions, banned = [], set()
+    bans: dict[tuple[str, str], list[int]] = {}
     for p in plans:
-        if p.late_fault:
-            continue
-        pairs = [(m.type.definition, m.name) for m in p.rule.constraint.operands]
-        banned |= set(pairs)
-        match = reduce(lambda a, b: a | b, [(F.col("containing_type") == F.lit(t)) & (F.col("member_name") == F.lit(n)) for t, n in pairs])
-        conditions.append((p.number, F.col(p.subject) & match))
-    # the bans are part of the spec: few, and pushed to the scan as two lists
-    own = facts.member_edges.where(F.col("containing_type").isin([t for t, _ in banned]) & F.col("member_name").isin([n for _, n in banned])) if banned else facts.member_edges.limit(0)
+        for m in () if p.late_fault else p.rule.constraint.operands:
+            bans.setdefault((m.type.definition, m.name), []).append(p.number)
+    # a row per banned member, joined by key: a spec may ban any number of them
+    table = facts.types.sparkSession.createDataFrame([(t, n, sorted(set(r))) for (t, n), r in bans.items()], "__type string, __name string, __rules array<int>")
+    own = facts.member_edges.join(table, (F.col("containing_type") == F.col("__type")) & (F.col("member_name") == F.col("__name")))
     joined = own.join(users, F.col("source") == F.col("__source"))
-    chosen = _broken(conditions) if conditions else F.explode(F.array().cast("array<int>")).alias("rule")
+    held = F.array(*[F.when(F.col(p.subject), F.lit(p.number)) for p in plans])
+    chosen = F.explode(F.filter(F.array_intersect(held, F.col("__rules")), lambda x: x.isNotNull())).alias("rule")
     display = member_display(F.col("containing_type"), F.col("member_name"), F.col("member_kind"))
     return joined.select("source", "containing_type", "member_name", "member_symbol_id", "member_kind", "sites", "__source_id", chosen).select(*_row("MemberUse", source=F.col("source"), member_symbol_id=F.col("member_symbol_id"), member_display=display, sites=F.col("sites"), id_source=F.col("__source_id"), id_target=F.col("member_symbol_id")))
 
