@@ -46,11 +46,11 @@ class Scan:
         """The name of the boolean column that says whether a type is in selection; position is subject or target."""
         key = (selection, position)
         if key not in self._seen:
-            name = f"s{len(self._seen)}"
-            self._seen[key] = name
             errors: list[str] = []
-            self.columns[name] = F.coalesce(self.membership(selection, position, errors), F.lit(False))
-            self.errors[name] = errors
+            found = F.coalesce(self.membership(selection, position, errors), F.lit(False))
+            # a selection that can't be evaluated gets no flag, and fails again when asked for again
+            name = self._seen[key] = f"s{len(self._seen)}"
+            self.columns[name], self.errors[name] = found, errors
         return self._seen[key]
 
     def membership(self, s: Selection, position: str, errors: list[str]) -> Column:
