@@ -118,10 +118,15 @@ class _Plan:
 
 @dataclass
 class Compiled:
-    """What evaluation gives: violations, and per rule whether it warns of a target that matches nothing."""
+    """What evaluation gives: violations, and (rule_id) of rules that forbid what matches nothing."""
 
     violations: DataFrame
-    inert: DataFrame
+    idle: DataFrame
+
+    @property
+    def inert(self) -> DataFrame:
+        """(rule_id): rules to be warned of, which are idle and not broken."""
+        return self.idle.join(self.violations.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -139,7 +144,7 @@ def evaluate(facts: Facts, rules: list[Rule], fused: bool = True) -> Compiled:
     spark = facts.types.sparkSession
     if not parts:
         return Compiled(spark.createDataFrame([], VIOLATIONS), spark.createDataFrame([], "rule_id string"))
-    return Compiled(_union([p.violations for p in parts]), _union([p.inert for p in parts]))
+    return Compiled(_union([p.violations for p in parts]), _union([p.idle for p in parts]))
 
 
 def _row(kind: str | Column, **slots: Column) -> list[Column]:
@@ -208,11 +213,9 @@ def _evaluate(facts: Facts, rules: list[Rule]) -> Compiled:
     rows = _union([x for x in (rows, empty, broken) if x is not None])
     names = F.element_at(F.array(*[F.lit(r.id) for r in rules]), F.col("rule") + 1)
     violations = rows.select(names.alias("rule_id"), *[c for c in rows.columns if c != "rule"])
-    # only verbs that forbid warn, only of operands that are patterns, and only if nothing is broken
-    warn = state.where("may_warn and some and not operand and error is null")
-    if any(EDGE_VERBS.get(p.rule.constraint.verb, EdgeVerb("", "")).warns for p in plans):
-        warn = warn.join(rows.select("rule").distinct(), "rule", "left_anti")
-    return Compiled(violations, warn.select(names.alias("rule_id")))
+    # only verbs that forbid warn, and only of operands that are patterns
+    idle = state.where("may_warn and some and not operand and error is null")
+    return Compiled(violations, idle.select(names.alias("rule_id")))
 
 
 def _resolve(scan: Scan, facts: Facts, rule: Rule, number: int) -> _Plan:

@@ -17,6 +17,7 @@ from .plans import check as verdict
 from .plans import render
 from .plans.compile import evaluate
 from .schema import BASELINE, Facts
+from .session import written
 from .sources import star
 from .sources.tables import changed_files
 from .spec import Constraint, MemberSelection, Selection, Spec
@@ -258,7 +259,7 @@ def _baseline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every second violation of two rules, stale entries, and an empty section."""
     facts = star.facts(spark, sf_dir)
     rules = [r for r in _ratchet_spec().build().rules if r.id in ("buy/economy", "sealed")]
-    found = upkeep.identities(evaluate(facts, rules).violations)
+    found = written(upkeep.identities(evaluate(facts, rules).violations), "known")
     key = F.coalesce("source", "subject")
     even = found.where(F.regexp_extract(key, r"(\d)\z", 1).isin("0", "2", "4", "6", "8", "1"))
     stale = spark.createDataFrame([("buy/economy", f"T:Gone{i}", "T:Gone", None, None) for i in range(5)], BASELINE)
@@ -328,7 +329,7 @@ FROM (SELECT CAST(count(DISTINCT rule) FILTER (WHERE NOT old) AS BIGINT) AS n, C
 
 def _upkeep(what: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = evaluate(star.facts(spark, sf_dir), _ratchet_spec().build().rules).violations
+        found = written(evaluate(star.facts(spark, sf_dir), _ratchet_spec().build().rules).violations, "violations")
         known, sections = _baseline(spark, sf_dir)
         if what == "init":
             now, _ = upkeep.initialise(found, ["buy/economy", "sealed", "new", "held", "frozen/containment"], sections, known)
