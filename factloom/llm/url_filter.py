@@ -25,16 +25,16 @@ GRAMS = (3, 4, 5)
 THRESHOLD = 0.5
 
 _BAD_STEMS = (
-    "free-bets", "best-bets", "sports-bets", "bets365x", "live-betting", "bet-bonus", "betting-tips", "casino-win", "win-casino", "online-casino", "casino-royal", "vip-casino", "lucky-casino", "slots-jackpot", "mega-slots", "poker-cash", "poker-room", "roulette-win", "jackpot-city",
-    "adult-x", "adult-video", "xxx-tube", "sex-cams", "porn-hd", "adult-chat", "hot-girls", "nude-pics", "escort-city", "cheap-pills", "buy-pills", "pills-online", "viagra-sale", "cialis-cheap", "cheap-meds", "pharma-discount", "weight-loss-pills", "diet-pills",
-    "spam-farm", "link-farm", "seo-spam", "spam-links", "backlink-farm", "content-farm", "ads-track", "track-ads", "ad-tracker", "adserver", "ads-click", "click-track", "popup-ads", "banner-ads", "pixel-track", "payday-loans", "fast-loans", "loan-approval", "crypto-doubler", "bitcoin-doubler", "free-crypto", "get-rich-quick", "earn-cash-fast",
+    "best-bets", "sports-bets", "bets365x", "live-betting", "bet-bonus", "betting-tips", "win-casino", "online-casino", "casino-royal", "vip-casino", "lucky-casino", "slots-jackpot", "mega-slots", "poker-cash", "poker-room", "roulette-win", "jackpot-city",
+    "adult-video", "xxx-tube", "sex-cams", "porn-hd", "adult-chat", "hot-girls", "nude-pics", "escort-city", "buy-pills", "pills-online", "viagra-sale", "cialis-cheap", "cheap-meds", "pharma-discount", "weight-loss-pills", "diet-pills",
+    "link-farm", "seo-spam", "spam-links", "backlink-farm", "content-farm", "track-ads", "ad-tracker", "adserver", "ads-click", "click-track", "popup-ads", "banner-ads", "pixel-track", "payday-loans", "fast-loans", "loan-approval", "crypto-doubler", "bitcoin-doubler", "free-crypto", "get-rich-quick", "earn-cash-fast",
     "warez-crack", "crack-keygen", "keygen-free", "torrent-pirate", "free-movies-hd", "fake-watches", "replica-bags", "cheap-replica", "free-iphone", "win-prize", "lottery-winner", "phish-login", "malware-drop",
 )
 _GOOD_STEMS = (
     "news", "daily-news", "city-library", "university", "science-journal", "open-data", "history-museum", "cooking-recipes", "garden-notes", "travel-guide", "weather", "health-institute", "medicine-review", "school-board", "physics-forum", "math-notes", "code-docs", "developer-blog", "linux-wiki", "football-report", "chess-club",
     "art-gallery", "music-review", "film-archive", "book-club", "government", "parliament", "court-records", "economics-today", "market-report", "bank-of-england", "energy-policy", "climate-data", "nature-photos", "bird-watching", "hiking-trails", "cycling", "railway-timetable", "airport", "bookshop", "furniture-store", "bakery", "farm-shop", "dairy-farm",
     "windmill", "winter-sports", "adulthood-studies", "address-book", "additive-manufacturing", "essex-county", "sussex-history", "betterment-society", "alphabet-books", "tablet-review", "spillway-engineering", "track-and-field", "racetrack", "soundtrack", "castle-tours", "casing-parts", "spanish-lessons", "spamalot-musical", "cheapside-london", "xylophone", "cracking-codes-museum", "slotted-tools",
-    "tionsh", "tiontion", "tionble", "thther", "theror", "thernd", "ththre", "thertion", "ththnd", "therly", "thonth", "theron", "ththing", "thinblean", "ereshand", "ouating", "oningeat", "hathente", "stedly", "inghewh", "blethat", "andores", "wherthe",
+    "lomira", "vantrel", "osterby", "quillan", "merrowdale", "thornwick", "hathersage", "entwistle", "ardington", "northolt", "kestrelmoor", "brinsop", "aldermaston", "otterburn", "ingatestone", "wetherby", "rothbury", "leatherhead", "sheringham", "antheron", "restonian", "wharfedale", "theroux",
 )
 _BAD_PATHS = ("/win/bonus.html", "/casino/bonus", "/out.php?url=x", "/cheap/pills/sale", "/free/bets/now", "/adult/xxx/1")
 _GOOD_PATHS = ("/2021/05/12/report", "/article/1234", "/wiki/Main_Page", "/docs/index.html", "/news/local/story", "/about")
