@@ -30,16 +30,21 @@ MOST_PIVOTS = 4096
 #: Rows compared at once.
 BLOCK = 1024
 MARGIN = 1e-4
+#: Pivots nearer than this have no plane between them that would part anything.
+NEAR = 1e-3
 
 
 def _reaches(x: np.ndarray, pivots: np.ndarray, own: np.ndarray, radius: float, extent: np.ndarray) -> np.ndarray:
-    """(rows x pivots): whether a vector in the pivot's cell may lie within radius of the row."""
+    """(rows x pivots): whether a vector in the pivot's cell may lie within radius of the row.
+
+    Unit vectors in double: in single precision the distance of near pivots is lost in rounding.
+    """
     cosine = x @ pivots.T
     d = np.sqrt(np.maximum(2 - 2 * cosine, 0))
     mine = np.take_along_axis(d, own[:, None], 1)
     between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-12))[own]
     plane = (np.take_along_axis(cosine, own[:, None], 1) - cosine) / between
-    return (d <= mine + 2 * radius + MARGIN) & (d <= extent + radius + MARGIN) & (plane <= radius + MARGIN)
+    return (d <= mine + 2 * radius + MARGIN) & (d <= extent + radius + MARGIN) & ((plane <= radius + MARGIN) | (between < NEAR))
 
 
 def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +53,12 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return own, np.sqrt(np.maximum(2 - 2 * np.take_along_axis(cosine, own[:, None], 1)[:, 0], 0))
 
 
+def _apart(pivots: np.ndarray) -> np.ndarray:
+    """The pivots less those nearer than NEAR to an earlier one."""
+    near = np.triu(2 - 2 * pivots @ pivots.T < NEAR * NEAR, 1)
+    return pivots[~near.any(0)]
+
+
 def _block_pairs(a: np.ndarray, b: np.ndarray, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i in range(0, len(a), BLOCK):
         for j in range(i if same else 0, len(b), BLOCK):
@@ -64,10 +75,11 @@ def join_cell(own: np.ndarray, guests: np.ndarray, cosine: float, depth: int = 0
     found: list[tuple[np.ndarray, np.ndarray]] = []
     if n > 4 * BLOCK and depth < 8:
         radius = np.sqrt(2 - 2 * cosine)
-        pivots = own[:: max(1, n // 16)][:16]
-        cell, d = _nearest(all_, pivots)
+        pivots = _apart(unit(own[:: max(1, n // 16)][:16]))
+        blocks = [slice(i, i + BLOCK) for i in range(0, len(all_), BLOCK)]
+        cell, d = (np.concatenate(x) for x in zip(*(_nearest(unit(all_[b]), pivots) for b in blocks)))
         extent = np.array([d[:n][cell[:n] == j].max(initial=0) for j in range(len(pivots))])
-        reach = _reaches(all_, pivots, cell, radius, extent)
+        reach = np.concatenate([_reaches(unit(all_[b]), pivots, cell[b], radius, extent) for b in blocks])
         members = np.bincount(cell[:n], minlength=len(pivots))
         # worth it only if the cells' work is clearly less than the whole's
         if members @ reach.sum(0) < 0.7 * n * len(all_):

@@ -45,6 +45,19 @@ def test_large_cells_split_exactly(monkeypatch, clustered):
     assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} == want
 
 
+def test_large_cells_of_near_identical_vectors_split_exactly():
+    rng = np.random.default_rng(1)
+    centre = unit(rng.normal(size=(1, 64)))
+    near = unit(centre + 1e-4 / 8 * rng.normal(size=(3000, 64)))
+    spread = unit(centre + 0.25 / 8 * rng.normal(size=(3000, 64)))
+    x = np.concatenate([near, spread])[rng.permutation(6000)].astype(np.float32)
+    a, b = embed_dedup.join_cell(x, x[:0], 0.95)
+    got = np.zeros((6000, 6000), bool)
+    got[np.minimum(a, b), np.maximum(a, b)] = True
+    want = np.triu(x.astype(np.float64) @ x.T.astype(np.float64) >= 0.95, 1)
+    assert len(a) == got.sum() and not (want & ~got).any()
+
+
 def odd_rows():
     good = [1.0, 0.0, 0.0]
     return [(1, good, 0), (2, good, 0), (2, good, 0), (3, [0.99, 0.01, 0.0], None), (None, good, 0), (4, None, 0), (5, [], 0), (6, [0.0, 0.0, 0.0], 0), (7, [1.0, 0.0], 0), (8, [float("nan"), 1.0, 0.0], 0), (9, [1.0, None, 0.0], 0), (10, [0.0, 1e-30, 0.0], 0)]
