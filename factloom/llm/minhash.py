@@ -9,6 +9,9 @@ A larger node compares those documents with all its others that are on average a
 the node as a near-duplicate, which takes dense groups out at once, and branches with the rest.
 All nodes of one depth are worked on in one job, and a depth works only on nodes with two
 documents or more.
+
+The values only propose pairs. Those far above the threshold connect at once; those in a band
+around it that this leaves apart are decided by the exact Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -29,6 +32,13 @@ SIZE = 128
 SHINGLE = 3
 #: Jaccard similarity from which two documents are near-duplicates.
 THRESHOLD = 0.5
+#: Estimates by SIZE values, of deviation 0.044 at 0.5, that far below the threshold leave a pair
+#: apart, and that far above it connect it; the exact similarity decides between.
+BELOW, ABOVE = 0.15, 0.2
+#: Documents of a bucket; pairs of two buckets are decided together.
+BUCKET = 256
+#: Digests of texts to decide on that are broadcast at most; more are joined by shuffling.
+BROADCAST = 1_000_000
 TREES = 6
 #: Children that a node sends a document to; 1 / THRESHOLD of them keep similar pairs together.
 BRANCH = 2
@@ -46,12 +56,12 @@ _A = (mix(np.arange(1, SIZE + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1))
 _B = mix(np.arange(1, SIZE + 1, dtype=U64) * U64(0xAF251AF3B0F025B5)).astype(np.uint32)
 
 
-def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the word 3-grams of each text, and n + 1 offsets; a shorter text is one shingle."""
+def shingle_hashes(texts: pa.Array, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes (64-bit with wide=True) of the word 3-grams of each text, and n + 1 offsets; a shorter text is one shingle."""
     h, off = word_hashes(texts)
     n = np.diff(off)
     if not len(h):
-        return np.zeros(0, np.uint32), off
+        return np.zeros(0, U64 if wide else np.uint32), off
     s = h * U64(0x9E3779B97F4A7C15)
     for k in range(1, SHINGLE):
         m = mix(h + U64(k))
@@ -64,7 +74,7 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         s[off[i]] = mix_int(sum(int(x) * (2 * k + 3) for k, x in enumerate(h[off[i] : off[i + 1]])) + int(n[i]))
         whole[off[i] + 1 : off[i + 1]] = False
     counts = np.concatenate([[0], np.cumsum(whole)])[off]
-    return (s[whole] >> U64(32)).astype(np.uint32), counts
+    return s[whole] if wide else (s[whole] >> U64(32)).astype(np.uint32), counts
 
 
 def signatures(shingles: np.ndarray, off: np.ndarray, piece: int = 1 << 15) -> np.ndarray:
@@ -104,13 +114,15 @@ def root_children(sig: np.ndarray) -> np.ndarray:
     return np.stack([mix(mix(np.full(len(sig), SEED + t, U64)) ^ sig[:, c].astype(U64)) for t, c in enumerate(order)], 1)
 
 
-def _components_of(sig: np.ndarray, sources: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs of rows that connect what is connected by pairs of similarity >= threshold that have
-    an end in sources. Rows found already aren't compared again: they'd change no group."""
+def _components_of(sig: np.ndarray, sources: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that have an end in sources: first those that connect what is connected by
+    pairs of an estimate of threshold + ABOVE (rows found already aren't compared again: they'd
+    change no group), then all pairs from threshold - BELOW that this leaves apart."""
     open_ = np.ones(len(sig), bool)
     source = np.zeros(len(sig), bool)
     source[sources] = True
-    pairs = []
+    group = np.arange(len(sig))
+    sure, maybe = [], []
     for start in sources:
         if not open_[start]:
             continue
@@ -121,11 +133,26 @@ def _components_of(sig: np.ndarray, sources: np.ndarray, threshold: float) -> np
             rest = np.flatnonzero(open_ if source[x] else open_ & source)
             if not len(rest):
                 continue
-            near = rest[_similarity(sig[rest], sig[x]) >= threshold]
+            near = rest[_similar_to(sig, rest, x) >= threshold + ABOVE]
             open_[near] = False
-            pairs.append(np.stack([np.full(len(near), x), near], 1))
+            group[near] = start
+            sure.append(np.stack([np.full(len(near), x), near], 1))
             queue.extend(near.tolist())
-    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    for g in np.unique(group[sources]):
+        outside = np.flatnonzero(group != g)
+        if not len(outside):
+            break
+        for x in np.flatnonzero(source & (group == g)):
+            # of two sources the first one finds the pair
+            rest = outside[~source[outside] | (outside > x)]
+            near = rest[_similar_to(sig, rest, x) >= threshold - BELOW]
+            maybe.append(np.stack([np.full(len(near), x), near], 1))
+    none = np.zeros((0, 2), np.int64)
+    return np.concatenate([none, *sure]), np.concatenate([none, *maybe])
+
+
+def _similar_to(sig: np.ndarray, rows: np.ndarray, x: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.float32), *[_similarity(sig[rows[i : i + 8192]], sig[x]) for i in range(0, len(rows), 8192)]])
 
 
 def _average_similarity(sig: np.ndarray) -> np.ndarray:
@@ -139,11 +166,17 @@ def _average_similarity(sig: np.ndarray) -> np.ndarray:
 
 
 def split_nodes(nodes: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold: float, deepest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For rows sorted by node: the ids of the pairs found (a, b), then the rows that branch
+    """For rows sorted by node: the ids of the pairs proposed (a, b), then the rows that branch
     (their child's name, their id)."""
+    a, b, _, child, who = _proposed(nodes, ids, sig, threshold, deepest)
+    return a, b, child, who
+
+
+def _proposed(nodes: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold: float, deepest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """split_nodes(), with whether each pair is sure after the pairs."""
     cut = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])) if len(nodes) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(cut, len(nodes)))
-    pairs = []
+    pairs, sure = [], []
     for m in range(2, SMALL + 1):
         starts = cut[sizes == m]
         a, b = np.triu_indices(m, 1)
@@ -151,19 +184,23 @@ def split_nodes(nodes: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold:
         for i in range(0, len(starts), step):
             own = starts[i : i + step, None]
             x, y = (own + a).ravel(), (own + b).ravel()
-            good = np.concatenate([_similarity(sig[x[j : j + 8192]], sig[y[j : j + 8192]]) >= threshold for j in range(0, len(x), 8192)])
+            near = np.concatenate([_similarity(sig[x[j : j + 8192]], sig[y[j : j + 8192]]) for j in range(0, len(x), 8192)])
+            good = near >= threshold - BELOW
             pairs.append(np.stack([x[good], y[good]], 1))
+            sure.append(near[good] >= threshold + ABOVE)
     onward = np.zeros(len(nodes), bool)
     for s, m in zip(cut[sizes > SMALL], sizes[sizes > SMALL]):
         own = slice(s, s + m)
         sources = np.arange(m) if deepest else np.flatnonzero(_average_similarity(sig[own]) >= DENSE) if m <= HUGE else np.zeros(0, np.int64)
-        pairs.append(s + _components_of(sig[own], sources, threshold))
+        for which, found in zip((True, False), _components_of(sig[own], sources, threshold)):
+            pairs.append(s + found)
+            sure.append(np.full(len(found), which))
         left = np.ones(m, bool)
         left[sources] = False
         onward[own] = left if left.sum() > 1 else False
     p = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
     at = np.flatnonzero(onward)
-    return ids[p[:, 0]], ids[p[:, 1]], _children(nodes[at], sig[at]).ravel() if len(at) else np.zeros(0, U64), np.repeat(ids[at], BRANCH)
+    return ids[p[:, 0]], ids[p[:, 1]], np.concatenate([np.zeros(0, bool), *sure]), _children(nodes[at], sig[at]).ravel() if len(at) else np.zeros(0, U64), np.repeat(ids[at], BRANCH)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -200,8 +237,8 @@ def _splitter(threshold: float, deepest: bool):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: list[tuple]) -> pa.RecordBatch:
             nodes, ids, sig = (np.concatenate(x) for x in zip(*rows))
-            a, b, child, who = split_nodes(nodes.view(U64), ids, sig, threshold, deepest)
-            kind = np.repeat(np.array([0, 1], np.int32), [len(a), len(child)])
+            a, b, sure, child, who = _proposed(nodes.view(U64), ids, sig, threshold, deepest)
+            kind = np.concatenate([np.where(sure, 0, 2), np.ones(len(child), int)]).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a, child.view(np.int64)])), pa.array(np.concatenate([b, who]))], ["kind", "x", "y"])
 
         held: list[tuple] = []
@@ -257,12 +294,69 @@ def near_edges(documents: DataFrame, threshold: float = THRESHOLD, text_col: str
         crowded = nodes.withColumn("n", F.count("*").over(Window.partitionBy("node"))).where("n > 1").select("node", "rid")
         laden = crowded.join(reps.select("rid", "sig"), "rid").select("node", "rid", "sig")
         done = written(laden.repartition("node").sortWithinPartitions("node").mapInArrow(_splitter(threshold, depth == DEEPEST), "kind int, x long, y long"), "nodes")
-        found = done.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        found = done.where("kind <> 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind")
         edges = found if edges is None else edges.unionByName(found)
         nodes = done.where("kind = 1").select(F.col("x").alias("node"), F.col("y").alias("rid"))
         if nodes.isEmpty():
             break
-    return reps, edges
+    roots = connected(edges.where("kind = 0").select("a", "b"))
+    ends = [roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    apart = edges.where("kind = 2").select("a", "b").distinct().join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
+    exact = _decided(texts, reps, written(apart.select("a", "b"), "apart"), threshold)
+    return reps, roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(exact)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, text) to (rid, shingles): the distinct 64-bit hashes in order."""
+    for batch in batches:
+        rids, texts = batch.column(0), batch.column(1)
+        for at, n in slices(texts):
+            hashes, off = shingle_hashes(texts.slice(at, n), wide=True)
+            own = [np.unique(hashes[off[i] : off[i + 1]]).tobytes() for i in range(n)]
+            yield pa.RecordBatch.from_arrays([rids.slice(at, n), pa.array(own, pa.binary())], ["rid", "shingles"])
+
+
+def _decider(threshold: float):
+    """Rows sorted by cell, shingles first, to the pairs of a similarity of threshold or more."""
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sets = None, {}
+        for batch in batches:
+            good = []
+            for cell, a, b, own in zip(*(batch.column(i) for i in range(4))):
+                if cell.as_py() != current:
+                    current, sets = cell.as_py(), {}
+                if own.is_valid:
+                    sets[a.as_py()] = np.frombuffer(own.as_py(), U64)
+                    continue
+                x, y = sets[a.as_py()], sets[b.as_py()]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= threshold * (len(x) + len(y) - both):
+                    good.append((a.as_py(), b.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return decide
+
+
+def _decided(texts: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose texts have a Jaccard similarity of threshold or more.
+
+    A pair belongs to the cell of its ends' buckets, and each set of shingles goes once to every
+    cell that asks for it.
+    """
+    rids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    count = rids.count()
+    buckets = max(1, -(-count // BUCKET))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+    celled = pairs.select((bucket("a") * buckets + bucket("b")).alias("cell"), "a", "b")
+    asked = celled.select("cell", F.col("a").alias("rid")).unionByName(celled.select("cell", F.col("b").alias("rid"))).distinct()
+    named = reps.select("rid", "digest").join(rids, "rid")
+    # the texts stay where they are unless too many are asked for
+    named = F.broadcast(named) if count <= BROADCAST else named
+    sets = texts.join(named, "digest").select("rid", "text").mapInArrow(_sets, "rid long, shingles binary").groupBy("rid").agg(F.first("shingles").alias("shingles"))
+    sent = sets.join(asked, "rid").select("cell", F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    rows = sent.unionByName(celled.withColumn("shingles", F.lit(None).cast("binary")))
+    return rows.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull()).mapInArrow(_decider(threshold), "a long, b long")
 
 
 def _groups(documents: DataFrame, threshold: float, text_col: str) -> DataFrame:
@@ -279,9 +373,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, text_col
     """(doc_id, kept_doc_id): each document with an exact or near copy, but the one that stays,
     beside the one that stays: that with the least doc_id of the group.
 
-    Two documents are near copies if their minwise values agree in a share of threshold or
-    more, which estimates the Jaccard similarity of their sets of word 3-grams (words in lower
-    case, signs ignored); groups are the connected components. Texts of less than three words
+    Two documents are near copies if the Jaccard similarity of their sets of word 3-grams (words
+    in lower case, signs ignored) is threshold or more; groups are the connected components. Texts of less than three words
     are one shingle; texts without words, empty ones too, have exact copies only; null texts
     have none. Documents without doc_id are left aside. Repeated rows of one doc_id and text
     count once; an empty table gives an empty result. Other columns are left aside.

@@ -65,6 +65,25 @@ def test_recall_and_precision(spark, corpus):
     assert total > 2000 and near / total >= 0.97
 
 
+def test_shared_passages_join_by_exact_similarity_only(spark):
+    rng = random.Random(7)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    docs = []
+    # pairs within a part have similarities of about 0.45, 0.47 and 0.52
+    for count, shared, own in ((70, 248, 150), (40, 200, 108), (12, 220, 98)):
+        passage = words(shared)
+        docs += [" ".join(passage + words(own)) for _ in range(count)]
+    sets = [shingles(t) for t in docs]
+    want = []
+    for i, j in combinations(range(len(docs)), 2):
+        both = len(sets[i] & sets[j])
+        if both / (len(sets[i]) + len(sets[j]) - both) >= 0.5:
+            want.append((i, j))
+    assert want and min(want)[0] >= 110
+    kept = {r["doc_id"]: r["kept_doc_id"] for r in minhash.near_duplicates(frame(spark, list(enumerate(docs)))).collect()}
+    assert kept == {i: 110 for i in range(111, 122)}
+
+
 def test_dense_nodes_are_taken_out(monkeypatch, corpus):
     monkeypatch.setattr(minhash, "SMALL", 8)
     texts = pa.array([t for _, t in corpus[:200]])
