@@ -48,6 +48,28 @@ def test_checksums_are_held():
     assert [scan.find_secrets(t) for t in bad] == [[]] * len(bad)
 
 
+LONG = pick(string.ascii_letters + string.digits, 20_000)
+WHOLE = [
+    ("assigned_secret", 'password = "', "Tr0ub4dor&3xyz", '"'), ("assigned_secret", "passwd: '", "p!ss#W0rd%9", "'"), ("assigned_secret", '\\"api_key\\": \\"', "k3y!with$signs", '\\"'), ("assigned_secret", "token=", LONG[:513], " x"),
+    ("web_token", "", ".".join([JWT.split(".")[0], LONG, LONG[:43]]), " x"), ("bearer_token", "Bearer ", LONG, " x"), ("chat_token", "", "xoxb-" + LONG[:300], " x"), ("cloud_access_key", "", "AKIA0189" + LONG[:12].upper(), " x"),
+    ("payment_key", "", "sk_live_" + LONG[:120], " x"), ("url_password", "db://me:", LONG[:200], "@host"),
+    ("private_key", "", KEY.replace("\n", ""), " x"), ("private_key", '{"private_key": "', KEY.replace("\n", "\\n") + "", '\\n"}'), ("private_key", "", KEY.replace("AAEC", base64.b64encode(bytes(30_000)).decode() + "AAEC"), " x"),
+]
+
+
+@pytest.mark.parametrize("rule, before, secret, after", WHOLE, ids=range(len(WHOLE)))
+def test_secrets_are_found_whole(rule, before, secret, after):
+    text = f"prose {before}{secret}{after}"
+    at = text.index(secret)
+    assert scan.find_secrets(text) == [(rule, at, at + len(secret))] == brute(text)
+    assert scan.redacted(text, scan.find_secrets(text)) == f"prose {before}<{rule}>{after}"
+
+
+def test_names_of_kinds_are_no_secrets():
+    for text in ('password: "required"', 'token = "access_token"', "token: 'short1'", 'password = "<assigned_secret>"'):
+        assert not scan.find_secrets(text), text
+
+
 def brute(text):
     """Every rule's expression at every place, without the automaton."""
     found = []
