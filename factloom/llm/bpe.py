@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_batches
+from .batches import small_batches
 from .text import hash_spans, slices, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_batches
+from .batches import small_batches
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, limit: int, text_col: str = "text") -> DataFrame:

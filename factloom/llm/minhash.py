@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_batches, written
+from ..session import written
+from .batches import small_batches
 from .text import U64, mix, mix_int, slices, word_hashes
 
 #: Minwise values of a document.

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import small_batches
+from .batches import small_batches
 from .text import slices, utf8
 
 #: Tokens of a window.

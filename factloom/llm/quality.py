@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import small_batches
+from .batches import small_batches
 from .labels import labelled_sample
 from .text import U64, mix, slices, word_hashes
 

@@ -14,19 +14,52 @@ _POLY = 0x5851F42D4C957F2D
 #: Bytes of text hashed at once; the temporaries of one piece stay in the processor's cache.
 PIECE = 1 << 18
 
-SPACE, WORD, MARK = 0, 1, 2
+SPACE, WORD, MARK, ALONE = 0, 1, 2, 3
+#: Signs of scripts that put no blanks between words; each is a word of its own.
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}&&[\p{L}\p{M}\p{N}]]+"
 
 
 def _byte_classes() -> np.ndarray:
     kinds = np.full(256, MARK, np.uint8)
     kinds[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0]] = SPACE
-    for lo, hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    for lo, hi in ((48, 58), (65, 91), (97, 123)):
         kinds[lo:hi] = WORD
     kinds[95] = WORD
     return kinds
 
 
 KINDS = _byte_classes()
+_tables: list[np.ndarray] = []
+
+
+def _code_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point its class, and its lower case where that is as long in UTF-8."""
+    if not _tables:
+        import regex
+
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        at = lambda m: slice(ord(m[0][0]), ord(m[0][-1]) + 1)
+        kinds, lower = np.full(0x110000, MARK, np.uint8), np.arange(0x110000, dtype=np.int32)
+        # a run may stretch over the gap of the surrogates, which no text holds
+        for kind, expression in ((WORD, r"[\p{L}\p{M}\p{N}]+"), (SPACE, r"[\s\p{Z}\p{C}&&[^\p{Co}]]+"), (ALONE, _UNSPACED)):
+            for m in regex.finditer(expression, every, regex.V1):
+                kinds[at(m)] = kind
+        for c in regex.findall(r"[\p{Lu}\p{Lt}]", every):
+            low = c.lower()
+            if len(low) == 1 and len(low.encode()) == len(c.encode()):
+                lower[ord(c)] = ord(low)
+        _tables.extend((kinds, lower))
+    return _tables[0], _tables[1]
+
+
+def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points whose UTF-8 begins at the given bytes, all of 0xC0 or more, and their lengths."""
+    lead = data[at].astype(np.int32)
+    follow = lambda k: data[np.minimum(at + k, len(data) - 1)].astype(np.int32) & 0x3F
+    two, three = (lead & 0x1F) << 6 | follow(1), (lead & 0x0F) << 12 | follow(1) << 6 | follow(2)
+    four = (lead & 0x07) << 18 | follow(1) << 12 | follow(2) << 6 | follow(3)
+    size = np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))
+    return np.minimum(np.where(size == 2, two, np.where(size == 3, three, four)), 0x10FFFF), size
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,20 +111,40 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and for the accented capitals of Latin-1 (U+00C0 to U+00DE)."""
+    """Lower case, but for letters whose lower case is of another length in UTF-8."""
     out = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    if len(out) > 1:
-        tail = data[1:]
-        capital = (data[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)
-        out[1:][capital] += np.uint8(32)
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        code, size = code_points(data, at)
+        low = _code_tables()[1][code]
+        changed = low != code
+        at, low, size = at[changed], low[changed], size[changed]
+        for n, lead in ((2, 0xC0), (3, 0xE0), (4, 0xF0)):
+            own = size == n
+            p, c = at[own], low[own]
+            for k in range(n):
+                out[p + k] = (lead if k == 0 else 0x80) | (c >> 6 * (n - 1 - k)) & (0xFF if k == 0 else 0x3F)
     return out
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words (and with marks=True of runs of other visible signs), cut at rows."""
+    """Starts and ends of words (and with marks=True of runs of other visible signs), cut at rows.
+
+    A word is a run of letters, combining signs, digits and underscores of any script; of
+    scripts without blanks between words each sign is one.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     kinds = KINDS[data]
+    alone = np.zeros(0, np.int64)
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        code, size = code_points(data, at)
+        own = _code_tables()[0][code]
+        alone = at[own == ALONE]
+        own = np.where(own == ALONE, WORD, own)
+        for k in range(4):
+            kinds[at[size > k] + k] = own[size > k]
     if not marks:
         kinds = (kinds == WORD).astype(np.uint8)
     edge = np.empty(len(data), bool)
@@ -99,6 +152,10 @@ def runs(data: np.ndarray, offsets: np.ndarray, marks: bool = False) -> tuple[np
     np.not_equal(kinds[1:], kinds[:-1], out=edge[1:])
     firsts = offsets[:-1]
     edge[firsts[firsts < len(data)]] = True
+    if len(alone):
+        edge[alone] = True
+        after = alone + np.where(data[alone] < 0xE0, 2, np.where(data[alone] < 0xF0, 3, 4))
+        edge[after[after < len(data)]] = True
     at = np.flatnonzero(edge)
     ends = np.append(at[1:], len(data))
     seen = kinds[at] != SPACE
