@@ -31,14 +31,24 @@ _ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret. pattern is tried where a keyword begins and its group 1 is the secret;
-    check says whether a secret's checksum holds. fold: the pattern matches in any case."""
+    check says whether a secret's checksum holds, or for how many of its first signs. fold: the
+    pattern matches in any case. Letters, digits and blanks of patterns are those of ASCII."""
 
     name: str
     keywords: tuple[str, ...]
     pattern: str
-    check: Callable[[str], bool] | None = None
+    check: Callable[[str], bool | int] | None = None
     fold: bool = False
 
+    def holds(self, secret: str) -> int:
+        """The length of what holds of a secret that the pattern found, 0 where nothing does or
+        the check can't read it."""
+        try:
+            found = self.check is None or self.check(secret)
+        except (ValueError, ArithmeticError, LookupError):
+            return 0
+        return len(secret) if found is True else int(found)
+
 
 def base62(number: int, width: int) -> str:
     """number in base 62, with leading zeros to width."""
@@ -67,6 +77,23 @@ def iban(text: str) -> bool:
     return int("".join(str(int(x, 36)) for x in own[4:] + own[:4])) % 97 == 1
 
 
+def _longest(text: str, good: Callable[[str], bool], least: int) -> int:
+    """The length of the longest run of groups, from the first, that is good and has least signs;
+    what stands behind a number looks like one more group of it."""
+    ends = [m.start() for m in re.finditer("[ -]", text)] + [len(text)]
+    return next((e for e in reversed(ends) if len(re.sub("[ -]", "", text[:e])) >= least and good(text[:e])), 0)
+
+
+def card_number(text: str) -> int:
+    """How many of the first signs are a payment card number."""
+    return _longest(text, luhn, 13)
+
+
+def account_number(text: str) -> int:
+    """How many of the first signs are an international account number."""
+    return _longest(text, iban, 15)
+
+
 def json_token(token: str) -> bool:
     """The first part of a signed web token is a JSON object with an algorithm."""
     head = token.split(".")[0]
@@ -110,20 +137,19 @@ RULES: tuple[Rule, ...] = (
     Rule("private_key", ("-----BEGIN ",), r"(-----BEGIN (?:[A-Z0-9]{1,12} ){0,2}PRIVATE KEY-----(?:[^-]|-(?!----)){16,}-----END (?:[A-Z0-9]{1,12} ){0,2}PRIVATE KEY-----)", key_block),
     Rule("url_password", ("://",), r"://[^\s:/@]+:([^\s:/@]{3,})@[A-Za-z0-9]", None),
     Rule("bearer_token", ("bearer ",), r"bearer\s([A-Za-z0-9_\-+/.]{20,}={0,2})(?![A-Za-z0-9_\-+/=])", varied, fold=True),
-    Rule("account_number", ("iban",), r"iban[:\s]{0,3}([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", iban, fold=True),
-    Rule("card_number", ("card", "visa", "mastercard", "pan:"), r"(?:card|visa|mastercard|pan:)[^\d\n]{0,24}(\d(?:[ -]?\d){12,18})(?!\d)", luhn, fold=True),
+    Rule("account_number", ("iban",), r"iban[:\s]{0,3}([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", account_number, fold=True),
+    Rule("card_number", ("card", "visa", "mastercard", "pan:"), r"(?:card|visa|mastercard|pan:)[^\d\n]{0,24}(\d(?:[ -]?\d){12,18})(?!\d)", card_number, fold=True),
 )
 
 #: Signs that may not stand before a keyword, as part of a longer word.
 _BEFORE = re.compile(r"[A-Za-z0-9_\-]")
 _GLUED = {"assigned_secret", "url_password", "card_number"}
-_machines: dict[tuple[str, ...], tuple] = {}
+_machines: dict[tuple[Rule, ...], tuple] = {}
 
 
 def _machine(rules: tuple[Rule, ...]) -> tuple:
     """The automaton from keywords, in lower case, to (length, rule numbers), and the compiled rules."""
-    key = tuple(r.name for r in rules)
-    if key not in _machines:
+    if rules not in _machines:
         words: dict[str, list[int]] = {}
         for i, r in enumerate(rules):
             for w in r.keywords:
@@ -132,8 +158,8 @@ def _machine(rules: tuple[Rule, ...]) -> tuple:
         for w, i in words.items():
             machine.add_word(w, (len(w), tuple(i)))
         machine.make_automaton()
-        _machines[key] = (machine, [re.compile(r.pattern, re.I if r.fold else 0) for r in rules])
-    return _machines[key]
+        _machines[rules] = (machine, [re.compile(r.pattern, re.A | (re.I if r.fold else 0)) for r in rules])
+    return _machines[rules]
 
 
 def _fold(text: str) -> str:
@@ -157,8 +183,8 @@ def find_secrets(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str,
             if at and r.name not in _GLUED and _BEFORE.match(text, at - 1):
                 continue
             m = compiled[i].match(text, at)
-            if m and (r.check is None or r.check(m[1])):
-                found.append((m.start(1), -m.end(1), i))
+            if m and (n := r.holds(m[1])):
+                found.append((m.start(1), -m.start(1) - n, i))
     out: list[tuple[str, int, int]] = []
     for start, end, i in sorted(set(found)):
         if not out or start >= out[-1][2]:
@@ -203,7 +229,9 @@ def scan_secrets(documents: DataFrame, text_col: str = "text", id_col: str = "do
 def redact_secrets(documents: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """documents with a mark in the place of each secret, and the number of characters to match.
 
-    All rows and columns stay; null texts stay null and keep their number.
+    All rows and columns stay, repeated rows too, whatever the columns' names; null texts stay
+    null and keep their number, empty texts and those without secrets stay as they are. Whole
+    texts are scanned, however long; an empty table gives an empty result.
     """
     small_batches(documents.sparkSession)
     text = _redact(F.col(text_col))
