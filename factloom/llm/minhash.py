@@ -1,14 +1,16 @@
 """MinHash near-duplicates by chosen-path set similarity join.
 
 A document is the set of its word 3-grams, embedded as SIZE minwise values. Documents that
-agree exactly are one from the start. In each of TREES independent trees a node chooses
-BRANCH coordinates at random (a hash of the node) and sends each of its documents to one child
-per coordinate, named by the document's value there: similar documents meet in some child with
-probability near 1, others part. A node of at most SMALL documents is compared exhaustively.
-A larger node compares those documents with all its others that are on average as similar to
-the node as a near-duplicate, which takes dense groups out at once, and branches with the rest.
-All nodes of one depth are worked on in one job, and a depth works only on nodes with two
-documents or more.
+agree exactly are one from the start. In each of several independent trees a node chooses some
+coordinates at random (a hash of the node) and sends each of its documents to one child per
+coordinate, named by the document's value there: similar documents meet in some child, others
+part. With more than 1 / threshold coordinates a node, two documents of that similarity meet
+with a probability that has a lower bound however deep a tree grows, which gives the number of
+trees for a recall of TARGET. A node of at most SMALL documents is compared exhaustively. A
+larger node compares those documents with all its others that are on average so similar to the
+node that branching wouldn't thin them out, and branches with the rest. A node of more than
+BLOCK documents is compared in blocks, each pair of blocks on its own. All nodes of one depth
+are worked on in one job, and a depth works only on nodes with two documents or more.
 
 The values only propose pairs. Those far above the threshold connect at once; those in a band
 around it that this leaves apart are decided by the exact Jaccard similarity of their shingles.
@@ -22,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import written
+from ..session import drop, written
 from .batches import small_batches
+from .columns import col, fresh
 from .text import U64, mix, mix_int, slices, word_hashes
 
 #: Minwise values of a document.
@@ -40,17 +44,14 @@ BELOW, ABOVE = 0.15, 0.2
 BUCKET = 256
 #: Digests of texts to decide on that are broadcast at most; more are joined by shuffling.
 BROADCAST = 1_000_000
-TREES = 6
-#: Children that a node sends a document to; 1 / THRESHOLD of them keep similar pairs together.
-BRANCH = 2
+#: Share of the pairs at the threshold that the trees are to find.
+TARGET = 0.97
 #: Documents up to which a node is compared exhaustively.
 SMALL = 48
-#: A larger node compares documents of this average similarity to it with all its others.
-DENSE = 0.8 * THRESHOLD
-#: Nodes that hold more than this many documents branch without that comparison.
-HUGE = 200_000
-#: Depth from which every node is compared exhaustively; nodes are small long before.
-DEEPEST = 24
+#: Documents of a block; a larger node is worked on in pairs of blocks.
+BLOCK = 32_768
+#: Documents of a node of several blocks that a document's average similarity is measured on.
+SAMPLE = 4096
 SEED = 0x5EED
 
 _A = (mix(np.arange(1, SIZE + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)).astype(np.uint32) | np.uint32(1)
@@ -96,29 +97,44 @@ def signatures(shingles: np.ndarray, off: np.ndarray, piece: int = 1 << 15) -> n
     return out
 
 
+def branches(threshold: float) -> int:
+    """Children that a node sends a document to."""
+    return max(2, int(np.ceil(1.5 / threshold)))
+
+
+def trees(threshold: float, target: float = TARGET) -> int:
+    """Trees in which a pair at the threshold meets with probability target, however deep they are."""
+    met, k = 1.0, branches(threshold)
+    for _ in range(1000):
+        # a pair meets below a node if in some of its children both arrive and meet
+        met = 1 - (1 - threshold * met) ** k
+    return max(1, int(np.ceil(np.log(1 - target) / np.log(max(1 - met, 1e-12)))))
+
+
 def _similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(-1, dtype=np.float32)
 
 
-def _children(nodes: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """(rows x BRANCH) names of the children that each row goes to."""
+def _children(nodes: np.ndarray, sig: np.ndarray, count: int) -> np.ndarray:
+    """(rows x count) names of the children that each row goes to."""
     draw = mix(nodes ^ U64(0xC0FFEE))
-    first = draw % U64(SIZE)
-    second = (first + U64(1) + (draw >> U64(32)) % U64(SIZE - 1)) % U64(SIZE)
+    first, step = draw % U64(SIZE), (draw >> U64(32)) % U64(SIZE // 2) * U64(2) + U64(1)
     rows = np.arange(len(nodes))
-    return np.stack([mix(mix(nodes + c + U64(1)) ^ sig[rows, c.astype(np.int64)].astype(U64)) for c in (first, second)], 1)
+    # an odd step leads through all coordinates before one comes again
+    return np.stack([mix(mix(nodes + U64(k * SIZE) + c + U64(1)) ^ sig[rows, c.astype(np.int64)].astype(U64)) for k in range(count) for c in [(first + U64(k) * step) % U64(SIZE)]], 1)
 
 
-def root_children(sig: np.ndarray) -> np.ndarray:
-    """(rows x TREES * BRANCH) names of the first children, each of another coordinate."""
-    order = np.argsort(mix(np.arange(SIZE, dtype=U64) + U64(SEED)))[: TREES * BRANCH]
-    return np.stack([mix(mix(np.full(len(sig), SEED + t, U64)) ^ sig[:, c].astype(U64)) for t, c in enumerate(order)], 1)
+def root_children(sig: np.ndarray, tree_count: int, count: int) -> np.ndarray:
+    """(rows x trees * count) names of the first children, each of another coordinate while there are any."""
+    order = np.argsort(mix(np.arange(SIZE, dtype=U64) + U64(SEED)))
+    return np.stack([mix(mix(np.full(len(sig), SEED + t, U64)) ^ sig[:, order[t % SIZE]].astype(U64)) for t in range(tree_count * count)], 1)
 
 
-def _components_of(sig: np.ndarray, sources: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _components_of(sig: np.ndarray, sources: np.ndarray, threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that have an end in sources: first those that connect what is connected by
     pairs of an estimate of threshold + ABOVE (rows found already aren't compared again: they'd
-    change no group), then all pairs from threshold - BELOW that this leaves apart."""
+    change no group), then all pairs from threshold - BELOW that this leaves apart, with sides
+    only those of two sides."""
     open_ = np.ones(len(sig), bool)
     source = np.zeros(len(sig), bool)
     source[sources] = True
@@ -146,6 +162,7 @@ def _components_of(sig: np.ndarray, sources: np.ndarray, threshold: float) -> tu
         for x in np.flatnonzero(source & (group == g)):
             # of two sources the first one finds the pair
             rest = outside[~source[outside] | (outside > x)]
+            rest = rest if side is None else rest[side[rest] != side[x]]
             near = rest[_similar_to(sig, rest, x) >= threshold - BELOW]
             maybe.append(np.stack([np.full(len(near), x), near], 1))
     none = np.zeros((0, 2), np.int64)
@@ -156,52 +173,60 @@ def _similar_to(sig: np.ndarray, rows: np.ndarray, x: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.float32), *[_similarity(sig[rows[i : i + 8192]], sig[x]) for i in range(0, len(rows), 8192)]])
 
 
-def _average_similarity(sig: np.ndarray) -> np.ndarray:
-    """Each row's mean similarity to the other rows, from the frequency of its values."""
+def _average_similarity(sig: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+    """Each row's mean similarity to the other rows, or to those of among, from the frequency of its values."""
     m = len(sig)
     total = np.zeros(m)
     for k in range(SIZE):
-        _, inverse, counts = np.unique(sig[:, k], return_inverse=True, return_counts=True)
-        total += counts[inverse] - 1
-    return total / (SIZE * (m - 1))
+        if among is None:
+            _, inverse, counts = np.unique(sig[:, k], return_inverse=True, return_counts=True)
+            total += counts[inverse] - 1
+        else:
+            own = np.sort(among[:, k])
+            total += np.searchsorted(own, sig[:, k], "right") - np.searchsorted(own, sig[:, k], "left")
+    return total / (SIZE * (m - 1 if among is None else len(among)))
 
 
-def split_nodes(nodes: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold: float, deepest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For rows sorted by node: the ids of the pairs proposed (a, b), then the rows that branch
-    (their child's name, their id)."""
-    a, b, _, child, who = _proposed(nodes, ids, sig, threshold, deepest)
-    return a, b, child, who
+def split_nodes(nodes: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold: float, cells: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by cell: the ids of the pairs proposed (a, b), whether each pair is sure,
+    then the rows that branch (their child's name, their id).
 
-
-def _proposed(nodes: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold: float, deepest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """split_nodes(), with whether each pair is sure after the pairs."""
-    cut = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])) if len(nodes) else np.zeros(0, np.int64)
+    cells: for each row blocks (of its node), i and j (of the cell's pair), and side: 0 in block
+    i, 1 in block j, 2 for a row of the sample. Without it every node is one cell.
+    """
+    none, count = np.zeros(len(nodes), np.int32), branches(threshold)
+    blocks, i, j, side = cells or (none + 1, none, none, none)
+    new = np.append(True, (nodes[1:] != nodes[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) if len(nodes) else np.zeros(0, bool)
+    cut = np.flatnonzero(new)
     sizes = np.diff(np.append(cut, len(nodes)))
+    small = (sizes <= SMALL) & (blocks[cut] == 1)
     pairs, sure = [], []
     for m in range(2, SMALL + 1):
-        starts = cut[sizes == m]
+        starts = cut[small & (sizes == m)]
         a, b = np.triu_indices(m, 1)
         step = max(1, 65536 // len(a))
-        for i in range(0, len(starts), step):
-            own = starts[i : i + step, None]
+        for k in range(0, len(starts), step):
+            own = starts[k : k + step, None]
             x, y = (own + a).ravel(), (own + b).ravel()
             near = np.concatenate([_similarity(sig[x[j : j + 8192]], sig[y[j : j + 8192]]) for j in range(0, len(x), 8192)])
             good = near >= threshold - BELOW
             pairs.append(np.stack([x[good], y[good]], 1))
             sure.append(near[good] >= threshold + ABOVE)
     onward = np.zeros(len(nodes), bool)
-    for s, m in zip(cut[sizes > SMALL], sizes[sizes > SMALL]):
-        own = slice(s, s + m)
-        sources = np.arange(m) if deepest else np.flatnonzero(_average_similarity(sig[own]) >= DENSE) if m <= HUGE else np.zeros(0, np.int64)
-        for which, found in zip((True, False), _components_of(sig[own], sources, threshold)):
-            pairs.append(s + found)
+    for s, m in zip(cut[~small], sizes[~small]):
+        whole = blocks[s] == 1
+        rows = s + np.flatnonzero(side[s : s + m] < 2)
+        average = _average_similarity(sig[rows], None if whole else sig[s : s + m][side[s : s + m] == 2])
+        # a document of average similarity a has about a times as many others in each of count children
+        dense = average >= 0.9 / count
+        for which, found in zip((True, False), _components_of(sig[rows], np.flatnonzero(dense), threshold, None if i[s] == j[s] else side[rows])):
+            pairs.append(rows[found])
             sure.append(np.full(len(found), which))
-        left = np.ones(m, bool)
-        left[sources] = False
-        onward[own] = left if left.sum() > 1 else False
+        if i[s] == j[s] and (not whole or (~dense).sum() > 1):
+            onward[rows] = ~dense
     p = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
     at = np.flatnonzero(onward)
-    return ids[p[:, 0]], ids[p[:, 1]], np.concatenate([np.zeros(0, bool), *sure]), _children(nodes[at], sig[at]).ravel() if len(at) else np.zeros(0, U64), np.repeat(ids[at], BRANCH)
+    return ids[p[:, 0]], ids[p[:, 1]], np.concatenate([np.zeros(0, bool), *sure]), _children(nodes[at], sig[at], count).ravel() if len(at) else np.zeros(0, U64), np.repeat(ids[at], count)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -228,17 +253,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([digest.slice(at, n), sig], ["digest", "sig"])
 
 
-def _first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, names = batch.column(0).to_numpy(), root_children(_matrix(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([pa.array(names.ravel().view(np.int64)), pa.array(np.repeat(ids, names.shape[1]))], ["node", "rid"])
+def _first_nodes(threshold: float):
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, names = batch.column(0).to_numpy(), root_children(_matrix(batch.column(1)), trees(threshold), branches(threshold))
+            yield pa.RecordBatch.from_arrays([pa.array(names.ravel().view(np.int64)), pa.array(np.repeat(ids, names.shape[1]))], ["node", "rid"])
+
+    return name
 
 
-def _splitter(threshold: float, deepest: bool):
+def _splitter(threshold: float):
+    """Rows (node, blocks, i, j, side, rid, sig) sorted by cell to (kind, x, y): sure pairs (0),
+    children with their documents (1), pairs to decide (2)."""
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: list[tuple]) -> pa.RecordBatch:
-            nodes, ids, sig = (np.concatenate(x) for x in zip(*rows))
-            a, b, sure, child, who = _proposed(nodes.view(U64), ids, sig, threshold, deepest)
+            nodes, blocks, i, j, side, ids, sig = (np.concatenate(x) for x in zip(*rows))
+            a, b, sure, child, who = split_nodes(nodes.view(U64), ids, sig, threshold, (blocks, i, j, side))
             kind = np.concatenate([np.where(sure, 0, 2), np.ones(len(child), int)]).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a, child.view(np.int64)])), pa.array(np.concatenate([b, who]))], ["kind", "x", "y"])
 
@@ -246,19 +277,38 @@ def _splitter(threshold: float, deepest: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            nodes, ids, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            # the last node of a batch may go on in the next one
-            last = int(np.searchsorted(nodes, nodes[-1], side="left"))
+            own = (*(batch.column(k).to_numpy() for k in range(6)), _matrix(batch.column(6)))
+            # the last cell of a batch may go on in the next one
+            other = np.flatnonzero((own[0] != own[0][-1]) | (own[2] != own[2][-1]) | (own[3] != own[3][-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
-                yield emit([*held, (nodes[:last], ids[:last], sig[:last])])
+                yield emit([*held, tuple(x[:last] for x in own)])
+                held = []
+            elif held and any(held[-1][k][-1] != own[k][-1] for k in (0, 2, 3)):
+                yield emit(held)
                 held = []
-            held.append((nodes[last:].copy(), ids[last:].copy(), sig[last:].copy()))
+            held.append(tuple(x[last:].copy() for x in own))
         if held:
             yield emit(held)
 
     return split
 
 
+def _celled(laden: DataFrame) -> DataFrame:
+    """(node, n, rid, sig) to (node, blocks, i, j, side, rid, sig): a node of at most BLOCK
+    documents is one cell; of a larger one, every document goes to the cells of its block with
+    every block, and those of the sample to all cells."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = laden.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    zero = F.lit(0)
+    one = own.where("blocks = 1").select("node", "blocks", zero.alias("i"), zero.alias("j"), zero.alias("side"), "rid", "sig")
+    large = own.where("blocks > 1").withColumn("k", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    members = large.select("node", "blocks", F.least("k", "block").alias("i"), F.greatest("k", "block").alias("j"), (F.col("block") > F.col("k")).cast("int").alias("side"), "rid", "sig")
+    sampled = large.where(F.pmod(F.xxhash64("node", "rid"), F.col("n")) < SAMPLE)
+    sample = sampled.withColumn("j", F.explode(F.sequence("k", F.col("blocks") - 1))).select("node", "blocks", F.col("k").alias("i"), "j", F.lit(2).alias("side"), "rid", "sig")
+    return one.unionByName(members).unionByName(sample)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, root) for every id of edges (a, b): root is the least id of its connected component.
 
@@ -285,16 +335,16 @@ def connected(edges: DataFrame) -> DataFrame:
 def near_edges(documents: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The distinct texts (rid, digest, sig), and edges (a, b) of rids that connect the groups."""
     small_batches(documents.sparkSession)
-    texts = documents.select(F.unhex(F.md5(F.col(text_col))).alias("digest"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    texts = documents.select(F.unhex(F.md5(col(text_col).cast("string"))).alias("digest"), col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     signed = texts.mapInArrow(_sign, "digest binary, sig binary").groupBy("digest").agg(F.first("sig").alias("sig"))
     # the number is drawn before the table is written, so it stays
     reps = written(signed.where("sig is not null").select(F.monotonically_increasing_id().alias("rid"), "digest", "sig"), "signatures")
-    nodes = reps.select("rid", "sig").mapInArrow(_first_nodes, "node long, rid long")
+    nodes = reps.select("rid", "sig").mapInArrow(_first_nodes(threshold), "node long, rid long")
     edges: DataFrame | None = None
-    for depth in range(1, DEEPEST + 1):
-        crowded = nodes.withColumn("n", F.count("*").over(Window.partitionBy("node"))).where("n > 1").select("node", "rid")
-        laden = crowded.join(reps.select("rid", "sig"), "rid").select("node", "rid", "sig")
-        done = written(laden.repartition("node").sortWithinPartitions("node").mapInArrow(_splitter(threshold, depth == DEEPEST), "kind int, x long, y long"), "nodes")
+    while True:
+        crowded = nodes.withColumn("n", F.count("*").over(Window.partitionBy("node"))).where("n > 1").select("node", "n", "rid")
+        cells = _celled(crowded.join(reps.select("rid", "sig"), "rid"))
+        done = written(cells.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(_splitter(threshold), "kind int, x long, y long"), "nodes")
         found = done.where("kind <> 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind")
         edges = found if edges is None else edges.unionByName(found)
         nodes = done.where("kind = 1").select(F.col("x").alias("node"), F.col("y").alias("rid"))
@@ -381,7 +431,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, text_col
     count once; an empty table gives an empty result. Other columns are left aside.
     """
     groups = _groups(documents, threshold, text_col)
-    ids = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.col(text_col))).alias("digest")).distinct()
+    ids = documents.where(col(id_col).isNotNull() & col(text_col).isNotNull()).select(col(id_col).alias("doc_id"), F.unhex(F.md5(col(text_col).cast("string"))).alias("digest")).distinct()
     named = ids.join(groups, "digest", "left").select("doc_id", F.coalesce(F.hex("root"), F.hex("digest")).alias("g"))
     w = Window.partitionBy("g")
     return named.withColumn("kept_doc_id", F.min("doc_id").over(w)).where("doc_id <> kept_doc_id").select("doc_id", "kept_doc_id").distinct()
@@ -391,15 +441,27 @@ def keep_one_of_each(documents: DataFrame, threshold: float = THRESHOLD, text_co
     """The rows of documents, with all their columns, less all but one of each group of copies.
 
     Groups are those of near_duplicates(); of a group stays the row with the least doc_id, a
-    null doc_id being the largest. Rows with a null text all stay.
+    null doc_id being the largest, and of groups of texts with one doc_id that of the least
+    digest. Of rows repeated in doc_id and text one stays, the first in the order of the other
+    columns. Rows with a null text all stay; empty texts are copies of each other. Whole texts
+    count, however long; an empty table gives an empty result. Columns may have any names.
     """
     groups = _groups(documents, threshold, text_col)
-    ids = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.unhex(F.md5(F.col(text_col))).alias("__digest"))
-    least = ids.groupBy("__digest").agg(F.min("__id").alias("__id"))
-    named = least.join(groups.select(F.col("digest").alias("__digest"), F.col("root").cast("string").alias("__root")), "__digest")
-    rank = F.row_number().over(Window.partitionBy("__root").orderBy(F.col("__id").asc_nulls_last(), "__digest"))
-    losers = named.withColumn("__n", rank).where("__n > 1").select("__digest")
-    w = Window.partitionBy("__digest").orderBy(F.col(id_col).asc_nulls_last())
-    own = documents.where(F.col(text_col).isNotNull()).withColumn("__digest", F.unhex(F.md5(F.col(text_col)))).withColumn("__n", F.row_number().over(w)).where("__n = 1")
-    kept = own.join(losers, "__digest", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
-    return kept.unionByName(documents.where(F.col(text_col).isNull()))
+    own, digest, own_m, digest_m, number, kind, place = fresh(documents, "id", "digest", "marked_id", "marked_digest", "number", "kind", "place")
+    text_digest = F.unhex(F.md5(col(text_col).cast("string")))
+    keys = documents.where(col(text_col).isNotNull()).groupBy(col(id_col).alias(own), text_digest.alias(digest)).agg(F.count("*").alias(number))
+    least = keys.groupBy(digest).agg(F.min(own).alias("least"))
+    rank = F.row_number().over(Window.partitionBy("root").orderBy(F.col("least").asc_nulls_last(), digest))
+    lost = least.join(groups.withColumnRenamed("digest", digest), digest).withColumn("rank", rank).select(digest, (F.col("rank") > 1).alias("lost"))
+    # 0: the rows go; 1: rows that stay, but repeat each other
+    what = F.when(F.coalesce(F.col("lost"), F.lit(False)) | ~F.col(own).eqNullSafe(F.col("least")), 0).when(F.col(number) > 1, 1)
+    marked = written(keys.join(least, digest).join(lost, digest, "left").select(own, digest, what.alias(kind)).where(f"`{kind}` is not null"), "marked")
+    # their texts stay where they are unless too many rows are marked
+    sent = F.broadcast(marked) if marked.count() <= BROADCAST else marked
+    sent = sent.withColumnRenamed(own, own_m).withColumnRenamed(digest, digest_m)
+    told = documents.withColumn(own, col(id_col)).withColumn(digest, text_digest)
+    told = told.join(sent, (F.col(digest) == F.col(digest_m)) & F.col(own).eqNullSafe(F.col(own_m)), "left")
+    columns = [col(c) for c in documents.columns]
+    order = [col(f.name) for f in documents.schema if isinstance(f.dataType, T.AtomicType)]
+    again = told.where(F.col(kind) == 1).withColumn(place, F.row_number().over(Window.partitionBy(digest, own).orderBy(*order))).where(F.col(place) == 1)
+    return told.where(F.col(kind).isNull()).select(*columns).union(again.select(*columns))

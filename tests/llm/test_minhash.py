@@ -84,25 +84,54 @@ def test_shared_passages_join_by_exact_similarity_only(spark):
     assert kept == {i: 110 for i in range(111, 122)}
 
 
-def test_dense_nodes_are_taken_out(monkeypatch, corpus):
+def roots_of(n, edges):
+    root, changed = np.arange(n), True
+    while changed:
+        changed = False
+        for x, y in edges:
+            low = min(root[x], root[y])
+            if root[x] != low or root[y] != low:
+                root[x] = root[y] = low
+                changed = True
+    return root
+
+
+@pytest.mark.parametrize("block", [64, 10_000])
+def test_nodes_larger_than_a_block(monkeypatch, spark, corpus, block):
     monkeypatch.setattr(minhash, "SMALL", 8)
-    texts = pa.array([t for _, t in corpus[:200]])
-    sig = minhash.signatures(*minhash.shingle_hashes(texts))
-    nodes = np.zeros(len(sig), np.uint64)
-    a, b, child, who = minhash.split_nodes(nodes, np.arange(len(sig)), sig, 0.5, deepest=True)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SAMPLE", 40)
+    sets = [shingles(t) for _, t in corpus]
+    near = [(i, j) for i, j in combinations(range(len(sets)), 2) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])]
+    kept = {r["doc_id"]: r["kept_doc_id"] for r in minhash.near_duplicates(frame(spark, corpus)).collect()}
+    together = [kept.get(i, i) == kept.get(j, j) for i, j in near]
+    assert np.mean(together) >= 0.97
+    assert all(b < a for a, b in kept.items())
+
+
+def test_a_dense_node_is_compared_at_once(monkeypatch, corpus):
+    monkeypatch.setattr(minhash, "SMALL", 8)
+    sig = minhash.signatures(*minhash.shingle_hashes(pa.array([t for i, t in corpus[:70]])))
+    a, b, _, child, who = minhash.split_nodes(np.zeros(len(sig), np.uint64), np.arange(len(sig)), sig, 0.5)
     full = np.array([[(x == y).mean() for y in sig] for x in sig])
-    want = np.arange(len(sig))
-    got = np.arange(len(sig))
-    for pairs, root in ((np.argwhere(np.triu(full >= 0.5, 1)), want), (np.stack([a, b], 1), got)):
-        changed = True
-        while changed:
-            changed = False
-            for x, y in pairs:
-                low = min(root[x], root[y])
-                if root[x] != low or root[y] != low:
-                    root[x] = root[y] = low
-                    changed = True
-    assert (want == got).all() and not len(child) and not len(who)
+    assert (roots_of(70, np.argwhere(np.triu(full >= 0.5, 1))) == roots_of(70, np.stack([a, b], 1))).all()
+    assert not len(child) and not len(who)
+
+
+def test_trees_find_the_target_at_any_depth():
+    rng = np.random.default_rng(5)
+    for threshold in (0.4, 0.5, 0.8):
+        k, found = minhash.branches(threshold), 0
+        for _ in range(400):
+            alive = [minhash.trees(threshold)]
+            met = False
+            for _ in range(alive[0]):
+                here = 1
+                for _ in range(12):
+                    here = min(int(rng.binomial(k, threshold, here).sum()), 200)
+                met |= here > 0
+            found += met
+        assert found / 400 >= minhash.TARGET - 0.03, threshold
 
 
 def test_keeps_one_of_each(spark, corpus):
@@ -126,6 +155,19 @@ def test_odd_documents(spark):
     assert sorted((r["doc_id"] for r in left.collect()), key=lambda x: (x is None, x)) == [1, 3, 4, 5, 7, 9, 11, 12, 14]
 
 
+def test_clashing_names(spark):
+    rows = [(5, "a b c d", 1), (5, "a b c d", 0), (4, "a b c d", 9), (7, "x y z", 2), (7, None, 3)]
+    names = ["id", "_id", "digest", "marked_id", "number", "kind", "place", "root", "rid", "sig", "least", "lost", "__n", "__digest", "__id", "a.b"]
+    df = spark.createDataFrame([(*r[:2], *[r[2]] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    left = minhash.keep_one_of_each(df)
+    assert left.columns == df.columns
+    assert sorted((r[0], r[1] is None, r[2]) for r in left.collect()) == [(4, False, 9), (7, False, 2), (7, True, 3)]
+    again = minhash.keep_one_of_each(df.where("doc_id = 5"))
+    assert [(r[0], r[2]) for r in again.collect()] == [(5, 0)]
+    renamed = df.withColumnRenamed("doc_id", "Digest.id").withColumnRenamed("text", "id text")
+    assert minhash.keep_one_of_each(renamed, text_col="id text", id_col="Digest.id").columns == renamed.columns
+
+
 def test_empty_table(spark):
     empty = frame(spark, [])
     assert minhash.near_duplicates(empty).count() == minhash.keep_one_of_each(empty).count() == 0
