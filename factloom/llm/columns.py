@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with as many underscores before it as df needs to have no such column, in any case."""
-    have = {c.lower() for c in df.columns}
+def fresh(df: DataFrame | list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as df (or a list of columns) needs to
+    have no such column, in any case."""
+    have = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}
     out = []
     for n in names:
         while n.lower() in have:
