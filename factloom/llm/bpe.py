@@ -4,8 +4,10 @@ The texts of a task are split into words on their bytes, all at once; equal word
 Over the distinct words an inverted index leads from each pair of neighbouring tokens to the
 positions where it stands. The pair of the lowest rank is merged at all its positions, only the
 pairs with the touched neighbours change their place in the index, and so on in the order of
-the ranks until no pair has one. Then every text takes the tokens of its words. There is no
-shuffle: what a task learns about words it needs itself.
+the ranks until no pair has one. Then every text takes the tokens of its words. The corpus is
+all that a task reads: texts arrive in batches, and of each batch only the words that no batch
+before had are replayed, so every distinct word is merged once in a task. There is no shuffle:
+what a task learns about words it needs itself.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .batches import small_batches
+from .columns import col
 from .text import hash_spans, slices, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are split into words before the merges; words() does the same on bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of text whose words are replayed together.
-CORPUS = 8 << 20
+#: Bytes of text whose new words are replayed together.
+PIECE = 4 << 20
 _SECOND = 0x2545F4914F6CDD1D
 
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
@@ -194,39 +196,79 @@ def replay(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: n
     return token[:n][alive].astype(np.int32), np.concatenate([[0], np.cumsum(alive)])[base]
 
 
+class Encoder:
+    """Encodes batches of texts one after the other; words that it knows aren't replayed again."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        # of each known word two independent hashes, by the first; where its tokens begin, and how many they are
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.tokens, self.filled = np.zeros(1 << 12, np.int32), 0
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all texts, one after the other, and n + 1 offsets of the texts into them."""
+        data, offsets = utf8(texts)
+        begins, rows = [], [np.zeros(1, np.int64)]
+        for at, n in slices(texts, 1 << 20):
+            lo, hi = offsets[at], offsets[at + n]
+            own, cut = words(data[lo:hi], offsets[at : at + n + 1] - lo)
+            begins.append(own + lo)
+            rows.append(cut[1:] + rows[-1][-1])
+        starts, rows = np.concatenate([np.zeros(0, np.int64), *begins]), np.concatenate(rows)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        ends = np.append(starts[1:], len(data))
+        which = self._known(data, starts, ends)
+        size = self.size[which]
+        base = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        tokens = self.tokens[np.repeat(self.begin[which] - base[:-1], size) + np.arange(base[-1])]
+        return tokens, base[rows]
+
+    def _known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place of each word among the known ones, which new words have joined."""
+        a, b = hash_spans(data, starts, ends), hash_spans(data, starts, ends, _SECOND)
+        order = np.argsort(a, kind="stable")
+        first, second = a[order], b[order]
+        if len(order) > 1 and ((first[1:] == first[:-1]) & (second[1:] != second[:-1])).any():
+            order = np.lexsort((b, a))
+            first, second = a[order], b[order]
+        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
+        one, first, second = order[new], first[new], second[new]
+        of_word = np.empty(len(order), np.int32)
+        of_word[order] = np.cumsum(new) - 1
+        place = self._find(first, second)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            at = one[fresh]
+            tokens, cut = replay(self.vocabulary, data, starts[at], ends[at])
+            while self.filled + len(tokens) > len(self.tokens):
+                self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
+            self.tokens[self.filled : self.filled + len(tokens)] = tokens
+            both = [np.concatenate(x) for x in ((self.first, first[fresh]), (self.second, second[fresh]), (self.begin, self.filled + cut[:-1]), (self.size, np.diff(cut).astype(np.int32)))]
+            self.filled += len(tokens)
+            again = np.lexsort((both[1], both[0]))
+            self.first, self.second, self.begin, self.size = (x[again] for x in both)
+            place = self._find(first, second)
+        return place[of_word]
+
+    def _find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places of words by their hashes, -1 for those unknown."""
+        at = np.searchsorted(self.first, first)
+        if not len(self.first):
+            return np.full(len(first), -1)
+        while True:
+            # words with the same first hash stand in the order of the second
+            here = np.minimum(at, len(self.first) - 1)
+            further = (at < len(self.first)) & (self.first[here] == first) & (self.second[here] < second)
+            if not further.any():
+                return np.where((at < len(self.first)) & (self.first[here] == first) & (self.second[here] == second), here, -1)
+            at = at + further
+
+
 def encode_arrays(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of all texts, one after the other, and n + 1 offsets of the texts into them."""
-    data, offsets = utf8(texts)
-    begins, rows = [], [np.zeros(1, np.int64)]
-    for at, n in slices(texts, 1 << 20):
-        lo, hi = offsets[at], offsets[at + n]
-        own, cut = words(data[lo:hi], offsets[at : at + n + 1] - lo)
-        begins.append(own + lo)
-        rows.append(cut[1:] + rows[-1][-1])
-    starts, rows = np.concatenate([np.zeros(0, np.int64), *begins]), np.concatenate(rows)
-    if not len(starts):
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    ends = np.append(starts[1:], len(data))
-    # two independent hashes name a word
-    name = np.empty(len(starts), [("a", np.uint64), ("b", np.uint64)])
-    name["a"], name["b"] = hash_spans(data, starts, ends), hash_spans(data, starts, ends, _SECOND)
-    order = np.argsort(name["a"], kind="stable")
-    a, b = name["a"][order], name["b"][order]
-    if len(order) > 1 and ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
-        order = np.lexsort((name["b"], name["a"]))
-        a, b = name["a"][order], name["b"][order]
-    del name
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    del a, b
-    which = np.empty(len(order), np.int32)
-    which[order] = np.cumsum(new) - 1
-    one = order[new]
-    del order, new
-    own, cut = replay(vocabulary, data, starts[one], ends[one])
-    size = np.diff(cut)[which]
-    base = np.concatenate([[0], np.cumsum(size)])
-    tokens = own[np.repeat(cut[which] - base[:-1], size) + np.arange(base[-1])]
-    return tokens, base[rows]
+    return Encoder(vocabulary)(texts)
 
 
 def decode_tokens(vocabulary: Vocabulary, ids: list[int] | np.ndarray) -> str:
@@ -256,27 +298,33 @@ def decode_arrays(pieces: tuple[np.ndarray, np.ndarray], tokens: np.ndarray, off
     return out, base[offsets]
 
 
+def broadcast_vocabulary(spark: SparkSession, path: str):
+    """A vocabulary for the tasks; about 5 MB, whatever the data."""
+    v = load_vocabulary(path)
+    return spark.sparkContext.broadcast((v.tokens, v.of_byte, v.keys, v.merged))
+
+
 def encode(documents: DataFrame, path: str = VOCABULARY, text_col: str = "text", id_col: str = "doc_id", verify: bool = False) -> DataFrame:
     """(doc_id, tokens, n_tokens) for every row of documents; with verify also round_trip, whether
     decoding gives back the text's very bytes.
 
     A null text has null tokens, n_tokens and round_trip; an empty one no tokens. A null doc_id
     stays null; repeated rows each get their row; an empty table gives an empty result. Whole
-    texts are encoded. Other columns are left aside. path must be readable where tasks run, or
-    on the driver only: the vocabulary (about 5 MB) travels from there.
+    texts are encoded, however long. Other columns are left aside, whatever their names. path
+    must be readable where tasks run, or on the driver only: the vocabulary (about 5 MB) travels
+    from there.
     """
     small_batches(documents.sparkSession)
-    v = load_vocabulary(path)
-    shared = documents.sparkSession.sparkContext.broadcast((v.tokens, v.of_byte, v.keys, v.merged))
+    shared = broadcast_vocabulary(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(*shared.value)
-        pieces = _binary_tokens(own)
+        encoder, pieces = Encoder(own), _binary_tokens(own)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for at, n in slices(texts, CORPUS):
+            for at, n in slices(texts, PIECE):
                 part = texts.slice(at, n)
-                tokens, off = encode_arrays(own, part)
+                tokens, off = encoder(part)
                 null = part.is_null().to_numpy(zero_copy_only=False)
                 count = pa.array(np.diff(off).astype(np.int32), pa.int32(), mask=null)
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(tokens), mask=pa.array(null))
@@ -295,12 +343,17 @@ def encode(documents: DataFrame, path: str = VOCABULARY, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "tokens", "n_tokens", "round_trip"][: len(out)])
 
     schema = "doc_id long, tokens array<int>, n_tokens int" + ", round_trip boolean" * verify
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return documents.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY, tokens_col: str = "tokens", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text) for every row of tokens: encode() undone. Null tokens give a null text, none
-    an empty one; a null among them is an error, and so is an unknown id."""
+    """(doc_id, text) for every row of tokens: encode() undone.
+
+    Null tokens give a null text, none an empty one; a null among them is an error, and so is an
+    unknown id. Bytes that aren't UTF-8, as tokens cut out of their text may give, become U+FFFD.
+    A null doc_id stays null; repeated rows each get their row; an empty table gives an empty
+    result. Other columns are left aside, whatever their names.
+    """
     small_batches(tokens.sparkSession)
     v = load_vocabulary(path)
     shared = tokens.sparkSession.sparkContext.broadcast(_binary_tokens(v))
@@ -317,4 +370,4 @@ def decode(tokens: DataFrame, path: str = VOCABULARY, tokens_col: str = "tokens"
             text = [str(whole[cut[i] : cut[i + 1]], "utf-8", "replace") if valid[i] else None for i in range(len(lists))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(tokens_col).cast("array<int>").alias("tokens")).mapInArrow(run, "doc_id long, text string")
+    return tokens.select(col(id_col).cast("long").alias("doc_id"), col(tokens_col).cast("array<int>").alias("tokens")).mapInArrow(run, "doc_id long, text string")

@@ -1,5 +1,8 @@
 """Byte-level BPE against tiktoken, and exact round trips."""
 
+import random
+
+import numpy as np
 import pyarrow as pa
 import pytest
 import regex
@@ -37,6 +40,19 @@ def test_runs_of_one_letter():
         assert tokens[cut[i] : cut[i + 1]].tolist() == KNOWN.encode_ordinary(t)
 
 
+def test_words_known_from_batches_before(monkeypatch):
+    real = bpe.hash_spans
+    # few different first hashes: words are told apart by the second one
+    monkeypatch.setattr(bpe, "hash_spans", lambda data, s, e, base=None: real(data, s, e) % np.uint64(5) if base is None else real(data, s, e, base))
+    encoder, rng = bpe.Encoder(V), random.Random(1)
+    for _ in range(60):
+        rows = [rng.choice([None, "", " ".join(rng.choice(["ab", "don't", "Strauß", "x1", "12", "日本", "zz" * rng.randrange(5)]) + str(rng.randrange(40)) for _ in range(rng.randrange(30)))]) for _ in range(5)]
+        tokens, cut = encoder(pa.array(rows, pa.string()))
+        for i, t in enumerate(rows):
+            assert tokens[cut[i] : cut[i + 1]].tolist() == KNOWN.encode_ordinary(t or "")
+    assert len(encoder.first) < 500
+
+
 def test_other_vocabulary():
     v = bpe.load_vocabulary("/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
     known = tiktoken.Encoding("m", pat_str=bpe.PATTERN, mergeable_ranks={t: i for i, t in enumerate(v.tokens) if t is not None}, special_tokens={})
