@@ -1,11 +1,10 @@
 """The pipeline on a small folder: each stage against what its operator says of the same rows."""
 
-import re
-
 import pytest
+import tiktoken
 
 import corpus_pipeline
-from factloom.llm import packing
+from factloom.llm import bpe, packing
 
 DOCS = "/root/testdata/sf0.001"
 
@@ -35,17 +34,19 @@ def test_labelled_documents(spark, stages):
     assert sum(i in kept for i in good) / len(good) > 0.95
 
 
-def test_windows_hold_all_words(stages):
+def test_windows_hold_all_tokens(stages):
+    v = bpe.load_vocabulary()
+    known = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks={t: i for i, t in enumerate(v.tokens) if t is not None}, special_tokens={})
     rows = sorted(stages["secrets"].collect(), key=lambda r: r["doc_id"])
-    want = [w for r in rows for w in (re.findall(r"[^\t\n\f\r ]+", r["text"]) + [packing.END])]
+    want = [x for r in rows if r["text"] for x in (known.encode_ordinary(r["text"]) + [len(v.tokens)])]
     windows = sorted(stages["packing"].collect(), key=lambda r: r["window_id"])
-    assert [w for r in windows for t in r["texts"] for w in t.split(" ")] == want
-    assert {len(" ".join(r["texts"]).split(" ")) for r in windows[:-1]} == {packing.LENGTH}
+    assert [x for r in windows for x in r["tokens"]] == want
+    assert {len(r["tokens"]) for r in windows[:-1]} == {packing.LENGTH}
 
 
 def test_run_is_the_stages(spark, stages):
-    got = {r["window_id"]: r["texts"] for r in corpus_pipeline.run(spark, DOCS).collect()}
-    assert got == {r["window_id"]: r["texts"] for r in stages["packing"].collect()}
+    got = {r["window_id"]: r["tokens"] for r in corpus_pipeline.run(spark, DOCS).collect()}
+    assert got == {r["window_id"]: r["tokens"] for r in stages["packing"].collect()}
 
 
 def test_odd_documents_go_through(spark):
