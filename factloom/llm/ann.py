@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .text import U64, mix
 from .vectors import dimension_of, lists_of, matrix, sampled, unit, usable
 
 NEIGHBOURS = 10
@@ -32,6 +33,8 @@ BLOCK = 16
 EPSILON = 1.5
 #: Queries scanned together.
 QUERIES = 256
+#: Queries of a list that a task takes, or as many as the list has members if these are more.
+PART = 4096
 #: Share of candidates alive below which a scan goes on with these alone.
 SPARSE = 0.15
 
@@ -42,11 +45,12 @@ def rotation(dimension: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(members: np.ndarray, squares: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query, members nearer than its bound (squared distances), at most the k nearest and
-    those as near as the k-th: query number, member number, squared distance.
+def scan(members: np.ndarray, squares: np.ndarray, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query, members nearer than its bound (squared distances), the k nearest and of
+    equally near ones those of the least ids: query number, member number, squared distance.
 
-    squares has the squared lengths of the members' blocks of columns, (blocks x members).
+    squares has the squared lengths of the members' blocks of columns, (blocks x members). Equal
+    vectors have equal distances to the last bit.
     """
     dimension, n = members.shape[1], len(members)
     bound = bound.astype(np.float32).copy()
@@ -76,11 +80,12 @@ def scan(members: np.ndarray, squares: np.ndarray, queries: np.ndarray, bound: n
             alive = d <= most[q]
             q, c, d = q[alive], c[alive], d[alive]
     if q is None:
-        q, c = np.nonzero(partial <= bound[:, None])
+        q, c = np.nonzero(partial <= bound[:, None] * np.float32(1.00001) + np.float32(1e-5))
         d = partial[q, c]
-    near = d <= bound[q]
-    q, c, d = q[near], c[near], np.maximum(d[near], 0)
-    order = np.lexsort((c, d, q))
+    near = d <= bound[q] * np.float32(1.00001) + np.float32(1e-5)
+    q, c = q[near], c[near]
+    d = np.concatenate([np.zeros(0), *[((members[c[i : i + 65536]].astype(np.float64) - queries[q[i : i + 65536]]) ** 2).sum(1) for i in range(0, len(q), 65536)]])
+    order = np.lexsort((ids[c], d, q))
     q, c, d = q[order], c[order], d[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
     keep = place < k
@@ -153,39 +158,55 @@ def _probes(own: DataFrame, centres: np.ndarray, k: int, sample: int, target: fl
     return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1 if len(needed) else 1
 
 
-def _spreader(centres: np.ndarray, turn: np.ndarray, first: int, probes: int, with_members: bool, with_queries: bool):
-    """Vectors to (list, query, id, bound, v): members of their list, and queries of the probes from first on."""
+def _sizes(own: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """How many vectors are in each list."""
+    sizes = np.zeros(len(centres), np.int64)
+    for k, n in own.mapInArrow(_summer(centres), "list int, sums array<double>, n long").groupBy("list").agg(F.sum("n")).collect():
+        sizes[k] = n
+    return sizes
+
+
+def _spreader(centres: np.ndarray, turn: np.ndarray, parts: np.ndarray, first: int, probes: int, with_members: bool, with_queries: bool):
+    """Vectors to (list, part, query, id, bound, v): members of their list, copied to each of its
+    parts, and queries of the probes from first on, each in one part of a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                ids, x = part.column(0), unit(matrix(part.column(1)))
-                bound = part.column(2).to_numpy() if part.num_columns > 2 else np.full(len(x), 5.0, np.float32)
+                own = batch.slice(at, 2048)
+                ids, x = own.column(0), unit(matrix(own.column(1)))
+                bound = own.column(2).to_numpy() if own.num_columns > 2 else np.full(len(x), 5.0)
                 c = x @ centres.T
+                # in double first: equal vectors stay equal, whatever their place in the batch
                 turned = (x @ turn).astype(np.float32)
-                lists, rows, kinds = [], [], []
+                lists, part, rows, kinds = [], [], [], []
                 if with_members:
-                    lists.append(c.argmax(1))
-                    rows.append(np.arange(len(x)))
-                    kinds.append(np.zeros(len(x), np.int32))
+                    home = c.argmax(1)
+                    copies = parts[home]
+                    rows.append(np.repeat(np.arange(len(x)), copies))
+                    lists.append(np.repeat(home, copies))
+                    part.append(np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies))
+                    kinds.append(np.zeros(len(rows[-1]), np.int32))
                 if with_queries and probes > first:
                     order = np.argsort(-c, axis=1, kind="stable")[:, first:probes]
-                    lists.append(order.ravel())
                     rows.append(np.repeat(np.arange(len(x)), order.shape[1]))
+                    lists.append(order.ravel())
+                    part.append((mix(ids.to_numpy()[rows[-1]].view(U64)) % parts[lists[-1]].astype(U64)).astype(np.int64))
                     kinds.append(np.ones(order.size, np.int32))
                 if lists:
                     row = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), pa.array(np.concatenate(kinds)), ids.take(pa.array(row)), pa.array(bound[row].astype(np.float32)), lists_of(turned[row])], ["list", "query", "id", "bound", "v"])
+                    for lo in range(0, len(row), 8192):
+                        r = slice(lo, lo + 8192)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)[r].astype(np.int32)), pa.array(np.concatenate(part)[r].astype(np.int32)), pa.array(np.concatenate(kinds)[r]), ids.take(pa.array(row[r])), pa.array(bound[row[r]].astype(np.float64)), lists_of(turned[row[r]])], ["list", "part", "query", "id", "bound", "v"])
 
     return run
 
 
-_ROW = "list int, query int, id long, bound float, v array<float>"
+_ROW = "list int, part int, query int, id long, bound double, v array<float>"
 
 
 def _scanner(k: int):
-    """Rows sorted by list, members first, to neighbours (id, neighbour, d)."""
+    """Rows sorted by list and part, members first, to neighbours (id, neighbour, d)."""
 
     def answer(members: list[tuple], queries: list[tuple]) -> pa.RecordBatch | None:
         if not members or not queries:
@@ -197,19 +218,21 @@ def _scanner(k: int):
         for at in range(0, len(q), width):
             own = slice(at, at + width)
             # one more than k, for the query itself, and again one for each repeat of its row
-            a, b, d = scan(x, squares, q[own], bound[own], k + 1 + _repeats(ids))
+            a, b, d = scan(x, squares, ids, q[own], bound[own], (k + 1) * (1 + _repeats(ids)))
             fine = q_ids[own][a] != ids[b]
+            # of equal distances the rows of one id stand together; the first of them counts
+            fine[1:] &= (a[1:] != a[:-1]) | (ids[b[1:]] != ids[b[:-1]]) | (d[1:] != d[:-1])
             a, b, d = a[fine], b[fine], d[fine]
             place = np.arange(len(a)) - np.searchsorted(a, a)
             out.append((q_ids[own][a[place < k]], ids[b[place < k]], d[place < k]))
         a, b, d = (np.concatenate(y) for y in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.float32))], ["id", "neighbour", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["id", "neighbour", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, members, queries = None, [], []
         for batch in batches:
-            lists, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            key = lists.astype(np.int64) * 2 + kinds
+            lists, kinds = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            key = lists * 2 + kinds
             cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
             for lo, hi in zip(cut, [*cut[1:], len(key)]):
                 if lists[lo] != current:
@@ -217,7 +240,7 @@ def _scanner(k: int):
                         yield got
                     current, members, queries = lists[lo], [], []
                 part = batch.slice(lo, hi - lo)
-                ids, bound, v = part.column(2).to_numpy().copy(), part.column(3).to_numpy().copy(), matrix(part.column(4)).copy()
+                ids, bound, v = part.column(3).to_numpy().copy(), part.column(4).to_numpy().copy(), matrix(part.column(5)).copy()
                 if kinds[lo] == 0:
                     members.append((ids, v))
                 else:
@@ -249,7 +272,7 @@ def _repeats(ids: np.ndarray) -> int:
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS, vector_col: str = "embedding", id_col: str = "vec_id", sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
     """(vec_id, rank, neighbour_id, cosine): for every vector its k nearest others, rank from 1.
 
-    By cosine, ties by id. Vectors that are null, of another length than most, zero, or hold a
+    By cosine; of equal vectors those of the least ids come first. Vectors that are null, of another length than most, zero, or hold a
     null, NaN or infinite number are neither queries nor neighbours, nor are rows without id.
     Repeated rows of one id count as one; fewer others than k give fewer rows; an empty table
     gives an empty result. Other columns are left aside.
@@ -266,16 +289,17 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, vector_col: str = "embeddin
     centres = _centres(own, max(1, round(np.sqrt(count) / LISTS_DIVISOR)), dimension)
     probes = _probes(own, centres, k, sample, target)
     turn = rotation(dimension)
+    sizes = _sizes(own, centres)
+    parts = lambda probed: np.maximum(1, -(-sizes * probed // np.maximum(PART, sizes)))
+    scanned = lambda rows: rows.repartition("list", "part").sortWithinPartitions("list", "part", "query").mapInArrow(_scanner(k), "id long, neighbour long, d double")
     # every query first in its own list, which bounds how far its neighbours can be
-    home = own.mapInArrow(_spreader(centres, turn, 0, 1, True, True), _ROW)
-    found = written(home.repartition("list").sortWithinPartitions("list", "query").mapInArrow(_scanner(k), "id long, neighbour long, d float"), "home")
+    found = written(scanned(own.mapInArrow(_spreader(centres, turn, parts(1), 0, 1, True, True), _ROW)), "home")
     if probes > 1:
         bounds = found.groupBy("id").agg(F.max("d").alias("far"), F.countDistinct("neighbour").alias("n"))
-        bounded = own.join(bounds, "id", "left").select("id", "v", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(5.0)).cast("float").alias("bound"))
-        members = own.mapInArrow(_spreader(centres, turn, 0, 1, True, False), _ROW)
-        queries = bounded.mapInArrow(_spreader(centres, turn, 1, probes, False, True), _ROW)
-        beyond = members.unionByName(queries).repartition("list").sortWithinPartitions("list", "query").mapInArrow(_scanner(k), "id long, neighbour long, d float")
-        found = found.unionByName(beyond)
+        bounded = own.join(bounds, "id", "left").select("id", "v", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(5.0)).alias("bound"))
+        members = own.mapInArrow(_spreader(centres, turn, parts(probes - 1), 0, 1, True, False), _ROW)
+        queries = bounded.mapInArrow(_spreader(centres, turn, parts(probes - 1), 1, probes, False, True), _ROW)
+        found = found.unionByName(scanned(members.unionByName(queries)))
     best = found.groupBy("id", "neighbour").agg(F.min("d").alias("d"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "neighbour"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("id").alias("vec_id"), "rank", F.col("neighbour").alias("neighbour_id"), (1 - F.col("d").cast("double") / 2).alias("cosine"))
+    return ranked.select(F.col("id").alias("vec_id"), "rank", F.col("neighbour").alias("neighbour_id"), (1 - F.col("d") / 2).alias("cosine"))

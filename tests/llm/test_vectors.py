@@ -83,7 +83,7 @@ def test_scan_without_abandoning_is_exact():
     old = ann.EPSILON
     ann.EPSILON = 1e9
     try:
-        a, b, d = ann.scan(x, ann._block_squares(x), q, np.full(9, 1e9, np.float32), 5)
+        a, b, d = ann.scan(x, ann._block_squares(x), np.arange(200), q, np.full(9, 1e9, np.float32), 5)
     finally:
         ann.EPSILON = old
     full = ((q[:, None] - x[None]) ** 2).sum(2)
@@ -113,8 +113,16 @@ def test_ties_repeats_and_few_neighbours(spark):
     assert {g[0] for g in got} == {1, 2, 3, 10}
 
 
-def test_many_identical_vectors(spark):
-    rows = rows_of(np.ones((120, 8), np.float32))
-    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), k=3).collect()
-    assert len(got) == 360 and all(r["cosine"] > 0.999999 for r in got)
-    assert {r["neighbour_id"] for r in got if r["vec_id"] > 3} <= set(range(4))
+@pytest.mark.parametrize("part", [4096, 50])
+def test_ties_go_by_id_whatever_the_order(spark, monkeypatch, part):
+    monkeypatch.setattr(ann, "PART", part)
+    monkeypatch.setattr(ann, "LISTS_DIVISOR", 4)
+    rng = np.random.default_rng(2)
+    rows = rows_of(np.full((500, 24), 0.3, np.float32)) + rows_of(rng.normal(size=(300, 24)), 1000)
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), list(map(float, v)), 0) for i, v, _ in rows], SCHEMA)
+    got = [r for r in ann.nearest(df.repartition(5), k=3).collect() if r["vec_id"] < 1000]
+    assert len(got) == 1500 and all(r["cosine"] > 0.999999 for r in got)
+    for r in got:
+        others = [i for i in range(4) if i != r["vec_id"]]
+        assert r["neighbour_id"] == others[r["rank"] - 1]
