@@ -18,7 +18,8 @@ around it that this leaves apart are decided by the exact Jaccard similarity of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from .batches import small_batches
 from .columns import col, fresh
 from .text import U64, mix, mix_int, slices, word_hashes
 
-#: Minwise values of a document.
+#: Minwise values of a document, each kept as 16 bits of a hash of it: two documents agree by
+#: chance in one value of 65,536. The first nodes, which part all documents, are named by values
+#: of 64 bits.
 SIZE = 128
 #: Words in a shingle.
 SHINGLE = 3
@@ -58,12 +61,12 @@ _A = (mix(np.arange(1, SIZE + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1))
 _B = mix(np.arange(1, SIZE + 1, dtype=U64) * U64(0xAF251AF3B0F025B5)).astype(np.uint32)
 
 
-def shingle_hashes(texts: pa.Array, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes (64-bit with wide=True) of the word 3-grams of each text, and n + 1 offsets; a shorter text is one shingle."""
+def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the word 3-grams of each text, and n + 1 offsets; a shorter text is one shingle."""
     h, off = word_hashes(texts)
     n = np.diff(off)
     if not len(h):
-        return np.zeros(0, U64 if wide else np.uint32), off
+        return np.zeros(0, U64), off
     s = h * U64(0x9E3779B97F4A7C15)
     for k in range(1, SHINGLE):
         m = mix(h + U64(k))
@@ -76,25 +79,38 @@ def shingle_hashes(texts: pa.Array, wide: bool = False) -> tuple[np.ndarray, np.
         s[off[i]] = mix_int(sum(int(x) * (2 * k + 3) for k, x in enumerate(h[off[i] : off[i + 1]])) + int(n[i]))
         whole[off[i] + 1 : off[i + 1]] = False
     counts = np.concatenate([[0], np.cumsum(whole)])[off]
-    return s[whole] if wide else (s[whole] >> U64(32)).astype(np.uint32), counts
+    return s[whole], counts
 
 
-def signatures(shingles: np.ndarray, off: np.ndarray, piece: int = 1 << 15) -> np.ndarray:
-    """(rows x SIZE) minwise values; a row without shingles has the largest value everywhere."""
-    n = len(off) - 1
-    out = np.full((n, SIZE), 0xFFFFFFFF, np.uint32)
-    filled = np.diff(off) > 0
+def _least(values: Iterable[np.ndarray], off: np.ndarray, out: np.ndarray, lo: int, hi: int) -> None:
+    """Lowers out (rows x functions) to the least of each function's values from lo to hi of each row."""
     starts = off[:-1]
+    first = int(np.searchsorted(off, lo, side="right")) - 1
+    rows = np.arange(first, int(np.searchsorted(starts, hi, side="left")))
+    rows = rows[np.diff(off)[rows] > 0]
+    cuts = np.maximum(starts[rows], lo) - lo
+    for k, own in enumerate(values):
+        out[rows, k] = np.minimum(out[rows, k], np.minimum.reduceat(own, cuts))
+
+
+def signatures(shingles: np.ndarray, off: np.ndarray, piece: int = 1 << 15) -> np.ndarray:
+    """(rows x SIZE) minwise values, hashed to 16 bits; a row without shingles has the same one everywhere."""
+    out = np.full((len(off) - 1, SIZE), 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(shingles), piece):
+        hi = min(lo + piece, len(shingles))
+        own = (shingles[lo:hi] >> U64(32)).astype(np.uint32)
+        _least((own * a + b for a, b in zip(_A, _B)), off, out, lo, hi)
+    return (out * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
+
+
+def root_nodes(shingles: np.ndarray, off: np.ndarray, count: int, piece: int = 1 << 15) -> np.ndarray:
+    """(rows x count) names of the first nodes of each text, each by a minwise value of its own."""
+    out = np.full((len(off) - 1, count), 0xFFFFFFFFFFFFFFFF, U64)
     for lo in range(0, len(shingles), piece):
         hi = min(lo + piece, len(shingles))
-        first = int(np.searchsorted(off, lo, side="right")) - 1
-        last = int(np.searchsorted(starts, hi, side="left"))
-        rows = np.arange(first, last)[filled[first:last]]
-        cuts = np.maximum(starts[rows], lo) - lo
         own = shingles[lo:hi]
-        for k in range(SIZE):
-            out[rows, k] = np.minimum(out[rows, k], np.minimum.reduceat(own * _A[k] + _B[k], cuts))
-    return out
+        _least((own * U64(mix_int(2 * k + 1) | 1) + U64(mix_int(SEED + k)) for k in range(count)), off, out, lo, hi)
+    return np.stack([mix(out[:, k] + U64(mix_int(SEED - k))) for k in range(count)], 1)
 
 
 def branches(threshold: float) -> int:
@@ -124,12 +140,6 @@ def _children(nodes: np.ndarray, sig: np.ndarray, count: int) -> np.ndarray:
     return np.stack([mix(mix(nodes + U64(k * SIZE) + c + U64(1)) ^ sig[rows, c.astype(np.int64)].astype(U64)) for k in range(count) for c in [(first + U64(k) * step) % U64(SIZE)]], 1)
 
 
-def root_children(sig: np.ndarray, tree_count: int, count: int) -> np.ndarray:
-    """(rows x trees * count) names of the first children, each of another coordinate while there are any."""
-    order = np.argsort(mix(np.arange(SIZE, dtype=U64) + U64(SEED)))
-    return np.stack([mix(mix(np.full(len(sig), SEED + t, U64)) ^ sig[:, order[t % SIZE]].astype(U64)) for t in range(tree_count * count)], 1)
-
-
 def _components_of(sig: np.ndarray, sources: np.ndarray, threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that have an end in sources: first those that connect what is connected by
     pairs of an estimate of threshold + ABOVE (rows found already aren't compared again: they'd
@@ -189,7 +199,7 @@ def _average_similarity(sig: np.ndarray, among: np.ndarray | None = None) -> np.
 
 def split_nodes(nodes: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold: float, cells: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For rows sorted by cell: the ids of the pairs proposed (a, b), whether each pair is sure,
-    then the rows that branch (their child's name, their id).
+    then the names of their children for the rows that branch, and these rows' numbers.
 
     cells: for each row blocks (of its node), i and j (of the cell's pair), and side: 0 in block
     i, 1 in block j, 2 for a row of the sample. Without it every node is one cell.
@@ -226,52 +236,54 @@ def split_nodes(nodes: np.ndarray, ids: np.ndarray, sig: np.ndarray, threshold:
             onward[rows] = ~dense
     p = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
     at = np.flatnonzero(onward)
-    return ids[p[:, 0]], ids[p[:, 1]], np.concatenate([np.zeros(0, bool), *sure]), _children(nodes[at], sig[at], count).ravel() if len(at) else np.zeros(0, U64), np.repeat(ids[at], count)
+    return ids[p[:, 0]], ids[p[:, 1]], np.concatenate([np.zeros(0, bool), *sure]), _children(nodes[at], sig[at], count) if len(at) else np.zeros((0, count), U64), at
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     data, off = np.frombuffer(column.buffers()[2], np.uint8), np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return data[off[0] : off[-1]].view(np.uint32).reshape(-1, SIZE)
+    return data[off[0] : off[-1]].view(np.uint16).reshape(-1, SIZE)
 
 
 def _binary(sig: np.ndarray) -> pa.Array:
-    off = np.arange(len(sig) + 1, dtype=np.int32) * (4 * SIZE)
+    off = np.arange(len(sig) + 1, dtype=np.int32) * (2 * SIZE)
     return pa.Array.from_buffers(pa.binary(), len(sig), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(sig))])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, text) to (digest, signature), null where a text has no words."""
-    for batch in batches:
-        digest, texts = batch.column(0), batch.column(1)
-        for at, n in slices(texts):
-            shingles, off = shingle_hashes(texts.slice(at, n))
-            has = np.diff(off) > 0
-            signed = signatures(shingles, off)[has]
-            where = np.full(n, -1, np.int64)
-            where[has] = np.arange(len(signed))
-            sig = _binary(signed).take(pa.array(where, mask=~has))
-            yield pa.RecordBatch.from_arrays([digest.slice(at, n), sig], ["digest", "sig"])
+def _lists(names: np.ndarray) -> pa.Array:
+    """Names (rows x any) as lists."""
+    return pa.FixedSizeListArray.from_arrays(pa.array(names.ravel().view(np.int64)), names.shape[1]).cast(pa.list_(pa.int64()))
+
 
+def _signer(threshold: float):
+    """(digest, text) to (digest, nodes, signature), the latter two null where a text has no words."""
+    count = trees(threshold) * branches(threshold)
 
-def _first_nodes(threshold: float):
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, names = batch.column(0).to_numpy(), root_children(_matrix(batch.column(1)), trees(threshold), branches(threshold))
-            yield pa.RecordBatch.from_arrays([pa.array(names.ravel().view(np.int64)), pa.array(np.repeat(ids, names.shape[1]))], ["node", "rid"])
+            digest, texts = batch.column(0), batch.column(1)
+            for at, n in slices(texts):
+                shingles, off = shingle_hashes(texts.slice(at, n))
+                has = np.diff(off) > 0
+                where = np.full(n, -1, np.int64)
+                where[has] = np.arange(int(has.sum()))
+                own = pa.array(where, mask=~has)
+                nodes, sig = _lists(root_nodes(shingles, off, count)[has]), _binary(signatures(shingles, off)[has])
+                yield pa.RecordBatch.from_arrays([digest.slice(at, n), nodes.take(own), sig.take(own)], ["digest", "nodes", "sig"])
 
-    return name
+    return sign
 
 
 def _splitter(threshold: float):
-    """Rows (node, blocks, i, j, side, rid, sig) sorted by cell to (kind, x, y): sure pairs (0),
-    children with their documents (1), pairs to decide (2)."""
+    """Rows (node, blocks, i, j, side, rid, sig) sorted by cell to (kind, x, y, nodes, sig): sure
+    pairs (0), pairs to decide (2), and documents x that branch, with their children (1)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: list[tuple]) -> pa.RecordBatch:
             nodes, blocks, i, j, side, ids, sig = (np.concatenate(x) for x in zip(*rows))
-            a, b, sure, child, who = split_nodes(nodes.view(U64), ids, sig, threshold, (blocks, i, j, side))
-            kind = np.concatenate([np.where(sure, 0, 2), np.ones(len(child), int)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a, child.view(np.int64)])), pa.array(np.concatenate([b, who]))], ["kind", "x", "y"])
+            a, b, sure, children, at = split_nodes(nodes.view(U64), ids, sig, threshold, (blocks, i, j, side))
+            kind = np.concatenate([np.where(sure, 0, 2), np.ones(len(at), int)]).astype(np.int32)
+            none, bare = pa.nulls(len(a), pa.list_(pa.int64())), pa.nulls(len(a), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a, ids[at]])), pa.array(np.concatenate([b, ids[at]])), pa.concat_arrays([none, _lists(children)]), pa.concat_arrays([bare, _binary(sig[at])])], ["kind", "x", "y", "nodes", "sig"])
 
         held: list[tuple] = []
         for batch in batches:
@@ -336,20 +348,23 @@ def near_edges(documents: DataFrame, threshold: float = THRESHOLD, text_col: str
     """The distinct texts (rid, digest, sig), and edges (a, b) of rids that connect the groups."""
     small_batches(documents.sparkSession)
     texts = documents.select(F.unhex(F.md5(col(text_col).cast("string"))).alias("digest"), col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    signed = texts.mapInArrow(_sign, "digest binary, sig binary").groupBy("digest").agg(F.first("sig").alias("sig"))
+    signed = texts.mapInArrow(_signer(threshold), "digest binary, nodes array<long>, sig binary").groupBy("digest").agg(F.first("nodes").alias("nodes"), F.first("sig").alias("sig"))
     # the number is drawn before the table is written, so it stays
-    reps = written(signed.where("sig is not null").select(F.monotonically_increasing_id().alias("rid"), "digest", "sig"), "signatures")
-    nodes = reps.select("rid", "sig").mapInArrow(_first_nodes(threshold), "node long, rid long")
-    edges: DataFrame | None = None
+    reps = written(signed.where("sig is not null").select(F.monotonically_increasing_id().alias("rid"), "digest", "nodes", "sig"), "signatures")
+    # every depth has its own table of documents that branch, with their values
+    open_ = reps.select(F.col("rid").alias("row"), "rid", "sig")
+    nodes = reps.select(F.col("rid").alias("row"), F.explode("nodes").alias("node"))
+    done: list[DataFrame] = []
     while True:
-        crowded = nodes.withColumn("n", F.count("*").over(Window.partitionBy("node"))).where("n > 1").select("node", "n", "rid")
-        cells = _celled(crowded.join(reps.select("rid", "sig"), "rid"))
-        done = written(cells.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(_splitter(threshold), "kind int, x long, y long"), "nodes")
-        found = done.where("kind <> 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind")
-        edges = found if edges is None else edges.unionByName(found)
-        nodes = done.where("kind = 1").select(F.col("x").alias("node"), F.col("y").alias("rid"))
-        if nodes.isEmpty():
+        crowded = nodes.withColumn("n", F.count("*").over(Window.partitionBy("node"))).where("n > 1")
+        cells = _celled(crowded.join(open_, "row").select("node", "n", "rid", "sig"))
+        split = cells.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(_splitter(threshold), "kind int, x long, y long, nodes array<long>, sig binary")
+        done.append(written(split.withColumn("row", F.monotonically_increasing_id()), "nodes"))
+        rows = done[-1].where("kind = 1")
+        if rows.isEmpty():
             break
+        open_, nodes = rows.select("row", F.col("x").alias("rid"), "sig"), rows.select("row", F.explode("nodes").alias("node"))
+    edges = reduce(DataFrame.unionByName, [d.where("kind <> 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind") for d in done])
     roots = connected(edges.where("kind = 0").select("a", "b"))
     ends = [roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
     apart = edges.where("kind = 2").select("a", "b").distinct().join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
@@ -362,7 +377,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rids, texts = batch.column(0), batch.column(1)
         for at, n in slices(texts):
-            hashes, off = shingle_hashes(texts.slice(at, n), wide=True)
+            hashes, off = shingle_hashes(texts.slice(at, n))
             own = [np.unique(hashes[off[i] : off[i + 1]]).tobytes() for i in range(n)]
             yield pa.RecordBatch.from_arrays([rids.slice(at, n), pa.array(own, pa.binary())], ["rid", "shingles"])
 
