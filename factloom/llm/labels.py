@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import small_batches
+from .columns import col
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, limit: int, text_col: str = "text") -> DataFrame:
     """Up to limit labelled documents, at most half of limit from each class, as (doc_id, y, lang, text).
 
-    The labels are taken in the order of a hash of doc_id, so the sample is the same in every
-    run. Labels whose doc_id or target is null are skipped; of contradicting labels for one
-    doc_id the larger counts. Without a column lang it is null.
+    The labels of documents that exist are taken in the order of a hash of doc_id, so the sample
+    is the same in every run. Labels whose doc_id or target is null are skipped; of
+    contradicting labels for one doc_id the larger counts. A doc_id that several documents have
+    comes once, with the least of their texts; null texts are skipped. Without a column lang it
+    is null.
     """
     small_batches(documents.sparkSession)
     own = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
+    there = own.join(documents.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
-    picked = [own.where(F.col("y") == y).orderBy(order, "doc_id").limit(limit // 2) for y in (0, 1)]
+    picked = [there.where(F.col("y") == y).orderBy(order, "doc_id").limit(limit // 2) for y in (0, 1)]
     lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
-    docs = documents.select(F.col("doc_id"), lang.alias("lang"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    docs = documents.select(F.col("doc_id"), lang.alias("lang"), col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     # limit bounds what is broadcast: two numbers for each sampled document
-    return docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "y", "lang", "text")
+    rows = docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    # a row for each doc_id, so that limit bounds what the driver gets too
+    return rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("d")).select("doc_id", "y", "d.lang", "d.text")

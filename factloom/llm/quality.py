@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import small_batches
+from .columns import col
 from .labels import labelled_sample
 from .text import U64, mix, slices, word_hashes
 
@@ -164,10 +165,15 @@ def classify_quality(documents: DataFrame, model: QualityModel, text_col: str =
     empty result. Other columns are left aside, whatever their names. Whole texts count.
     """
     spark = documents.sparkSession
-    scored = documents.select(F.col(id_col).alias("doc_id"), quality_score(spark, model, F.col(text_col)).alias("score"))
+    scored = documents.select(col(id_col).alias("doc_id"), quality_score(spark, model, col(text_col)).alias("score"))
     return scored.withColumn("keep", F.coalesce(F.col("score") >= F.lit(model.threshold), F.lit(False)))
 
 
 def keep_quality(documents: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The rows of documents that the model keeps, with all their columns; null texts go."""
-    return documents.where(quality_score(documents.sparkSession, model, F.col(text_col)) >= F.lit(model.threshold))
+    """The rows of documents that the model keeps, with all their columns, whatever their names.
+
+    Rows with a null text go; empty texts and those without words go or stay by the model's
+    bias; repeated rows all go or all stay; an empty table gives an empty result. Whole texts
+    count, however long.
+    """
+    return documents.where(quality_score(documents.sparkSession, model, col(text_col)) >= F.lit(model.threshold))
