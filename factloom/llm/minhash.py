@@ -338,6 +338,7 @@ def connected(edges: DataFrame) -> DataFrame:
         then = written(small, "edges")
         # at the end every id has one edge, and no root has one
         again = then.groupBy("a").agg(F.count("*").alias("n")).join(then.select(F.col("b").alias("a")).distinct().withColumn("root", F.lit(1)), "a", "left").where("n > 1 or root = 1").limit(1).count()
+        drop(now)
         now = then
         if not again:
             return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
@@ -367,62 +368,97 @@ def near_edges(documents: DataFrame, threshold: float = THRESHOLD, text_col: str
     edges = reduce(DataFrame.unionByName, [d.where("kind <> 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind") for d in done])
     roots = connected(edges.where("kind = 0").select("a", "b"))
     ends = [roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-    apart = edges.where("kind = 2").select("a", "b").distinct().join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
-    exact = _decided(texts, reps, written(apart.select("a", "b"), "apart"), threshold)
+    apart = edges.where("kind = 2").select("a", "b").distinct().join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+    apart = written(apart.where("root_a <> root_b"), "apart")
+    for table in done:
+        drop(table)
+    exact = _decided(texts, reps, apart, threshold)
     return reps, roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(exact)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text) to (rid, shingles): the distinct 64-bit hashes in order."""
+    """(rid, cells, text) to (root, i, j, a, shingles), a row for each cell: the distinct hashes in
+    order. Of the copies of a text that a task meets, the first one speaks for all."""
+    seen: set[int] = set()
     for batch in batches:
-        rids, texts = batch.column(0), batch.column(1)
-        for at, n in slices(texts):
-            hashes, off = shingle_hashes(texts.slice(at, n))
-            own = [np.unique(hashes[off[i] : off[i + 1]]).tobytes() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([rids.slice(at, n), pa.array(own, pa.binary())], ["rid", "shingles"])
+        rids = batch.column(0).to_numpy()
+        new = np.zeros(len(rids), bool)
+        new[np.unique(rids, return_index=True)[1]] = True
+        new &= ~np.isin(rids, np.fromiter(seen, np.int64, len(seen))) if seen else True
+        seen.update(rids[new].tolist())
+        own = batch.filter(pa.array(new))
+        for at, n in slices(own.column(2)):
+            hashes, off = shingle_hashes(own.column(2).slice(at, n))
+            sets = pa.array([np.unique(hashes[off[i] : off[i + 1]]).tobytes() for i in range(n)], pa.binary())
+            cells = own.column(1).slice(at, n)
+            row = pa.array(np.repeat(np.arange(n), cells.value_lengths().to_numpy()))
+            root, i, j = cells.flatten().flatten()
+            yield pa.RecordBatch.from_arrays([root, i, j, own.column(0).slice(at, n).take(row), sets.take(row)], ["root", "i", "j", "a", "shingles"])
 
 
 def _decider(threshold: float):
-    """Rows sorted by cell, shingles first, to the pairs of a similarity of threshold or more."""
+    """Rows (root, i, j, a, shingles, b, root_a, root_b) sorted by cell, shingles first, to pairs
+    that connect what those of a similarity of threshold or more connect: a pair whose ends
+    others connect already needs no look."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, sets = None, {}
+        current, sets, group = None, {}, {}
+
+        def root_of(x: int) -> int:
+            while group.get(x, x) != x:
+                group[x] = x = group.get(group[x], group[x])
+            return x
+
         for batch in batches:
             good = []
-            for cell, a, b, own in zip(*(batch.column(i) for i in range(4))):
-                if cell.as_py() != current:
-                    current, sets = cell.as_py(), {}
+            cells = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            for cell, a, own, b, ra, rb in zip(cells, batch.column(3).to_pylist(), batch.column(4), *(batch.column(k).to_pylist() for k in range(5, 8))):
+                if cell != current:
+                    current, sets, group = cell, {}, {}
                 if own.is_valid:
-                    sets[a.as_py()] = np.frombuffer(own.as_py(), U64)
+                    sets[a] = np.frombuffer(own.as_buffer(), U64)
+                    continue
+                ra, rb = root_of(ra), root_of(rb)
+                if ra == rb:
                     continue
-                x, y = sets[a.as_py()], sets[b.as_py()]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= threshold * (len(x) + len(y) - both):
-                    good.append((a.as_py(), b.as_py()))
+                x, y = sets[a], sets[b]
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= threshold * max(len(x), len(y)) else 0
+                if both and both >= threshold * (len(x) + len(y) - both):
+                    good.append((a, b))
+                    group[ra] = rb
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return decide
 
 
 def _decided(texts: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts have a Jaccard similarity of threshold or more.
+    """Of the pairs (a, b, root_a, root_b), enough of those whose texts have a Jaccard similarity of
+    threshold or more to connect what they all connect.
 
-    A pair belongs to the cell of its ends' buckets, and each set of shingles goes once to every
-    cell that asks for it.
+    Texts that pairs connect directly or by others are decided together: a set of shingles goes
+    once to their cell, or, where more than BUCKET make a square of cells, once to each cell of
+    its bucket that asks for it.
     """
-    rids = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    count = rids.count()
-    buckets = max(1, -(-count // BUCKET))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
-    celled = pairs.select((bucket("a") * buckets + bucket("b")).alias("cell"), "a", "b")
-    asked = celled.select("cell", F.col("a").alias("rid")).unionByName(celled.select("cell", F.col("b").alias("rid"))).distinct()
-    named = reps.select("rid", "digest").join(rids, "rid")
+    joined = connected(pairs.select("a", "b"))
+    roots = written(joined.unionByName(joined.select(F.col("root").alias("id"), "root").distinct()), "pieces")
+    drop(joined)
+    # a row per text of a pair; what is counted lies in one place already
+    sized = roots.withColumn("buckets", F.ceil(F.count("*").over(Window.partitionBy("root")) / BUCKET))
+    places = sized.select("id", "root", F.pmod(F.xxhash64("id"), "buckets").cast("int").alias("bucket"))
+    ends = [places.select(F.col("id").alias(c), F.col("root").alias("root"), F.col("bucket").alias(f"bucket_{c}")) for c in "ab"]
+    celled = pairs.join(ends[0], "a").join(ends[1].drop("root"), "b").select("root", F.least("bucket_a", "bucket_b").alias("i"), F.greatest("bucket_a", "bucket_b").alias("j"), "a", "b", "root_a", "root_b")
+    celled = written(celled, "cells")
+    drop(roots)
+    drop(pairs)
+    cell = F.struct("root", "i", "j")
+    asked = celled.select(F.col("a").alias("rid"), cell.alias("cell")).unionByName(celled.select(F.col("b").alias("rid"), cell.alias("cell"))).groupBy("rid").agg(F.collect_set("cell").alias("cells"))
+    named = written(reps.select("rid", "digest").join(asked, "rid").select("rid", "digest", "cells"), "asked")
     # the texts stay where they are unless too many are asked for
-    named = F.broadcast(named) if count <= BROADCAST else named
-    sets = texts.join(named, "digest").select("rid", "text").mapInArrow(_sets, "rid long, shingles binary").groupBy("rid").agg(F.first("shingles").alias("shingles"))
-    sent = sets.join(asked, "rid").select("cell", F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    rows = sent.unionByName(celled.withColumn("shingles", F.lit(None).cast("binary")))
-    return rows.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull()).mapInArrow(_decider(threshold), "a long, b long")
+    named = F.broadcast(named) if named.count() <= BROADCAST else named
+    sent = texts.join(named, "digest").select("rid", "cells", "text").mapInArrow(_sets, "root long, i int, j int, a long, shingles binary")
+    none = lambda c: F.lit(None).cast("long").alias(c)
+    rows = sent.select("*", none("b"), none("root_a"), none("root_b")).unionByName(celled.withColumn("shingles", F.lit(None).cast("binary")))
+    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", F.col("b").isNotNull()).mapInArrow(_decider(threshold), "a long, b long")
 
 
 def _groups(documents: DataFrame, threshold: float, text_col: str) -> DataFrame:
@@ -431,8 +467,9 @@ def _groups(documents: DataFrame, threshold: float, text_col: str) -> DataFrame:
     roots = connected(edges)
     named = reps.select("rid", "digest")
     full = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
-    own = full.join(named, full.id == named.rid).select("root", "digest")
-    return written(own, "groups")
+    groups = written(full.join(named, full.id == named.rid).select("root", "digest"), "groups")
+    drop(roots)
+    return groups
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
