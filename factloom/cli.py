@@ -1,4 +1,4 @@
-"""Commands: check, status, explain, render, baseline and graph, over facts written as Parquet."""
+"""Commands: check, status, explain, render, baseline, graph and context, over facts written as Parquet."""
 
 from __future__ import annotations
 
@@ -14,13 +14,13 @@ from .operators import survey
 from .plans import render
 from .plans.check import Report, check, exit_code, totals
 from .sources import baselines, specs
-from .sources.tables import read_facts
+from .sources.tables import read_diagnostics, read_facts
 
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("factloom")
     sub = p.add_subparsers(dest="verb", required=True)
-    for verb in ("check", "status", "explain", "render", "baseline", "graph"):
+    for verb in ("check", "status", "explain", "render", "baseline", "graph", "context"):
         s = sub.add_parser(verb)
         s.add_argument("--facts", required=verb not in ("explain", "render"))
         s.add_argument("--root", default=".")
@@ -31,8 +31,11 @@ def _parser() -> argparse.ArgumentParser:
         if verb == "check":
             s.add_argument("--sarif")
             s.add_argument("--diff-base")
+            s.add_argument("--allow-workspace-diagnostics", action="store_true", help="facts with diagnostics count as complete")
         if verb == "explain":
             s.add_argument("id")
+        if verb == "context":
+            s.add_argument("path", help="a file or folder, below root")
         if verb == "render":
             s.add_argument("--into", required=True)
         if verb == "baseline":
@@ -66,7 +69,12 @@ def _run(a: argparse.Namespace, spark: SparkSession | None) -> int:
         return 0
     if a.verb == "render":
         path = Path(a.into)
-        path.write_text(render.splice(path.read_text() if path.exists() else "", render.context(model)))
+        before = ""
+        if path.exists():
+            with open(path, newline="") as f:  # its line endings stay
+                before = f.read()
+        with open(path, "w", newline="") as f:
+            f.write(render.splice(before, render.context(model)))
         return 0
     spark = spark or SparkSession.builder.appName("factloom").getOrCreate()
     facts = read_facts(spark, a.facts)
@@ -75,6 +83,9 @@ def _run(a: argparse.Namespace, spark: SparkSession | None) -> int:
         print((render.graph_json if a.json else render.graph_text)(*parts), end="")
         return 0
     root = Path(a.root)
+    if a.verb == "context":
+        print(render.context_of(facts, model, a.path, str(root.resolve())), end="")
+        return 0
     known, sections = baselines.load(spark, root, [r.baseline_path for r in model.rules if r.baseline_path])
     base = getattr(a, "diff_base", None)
     changed = spark.createDataFrame([(p,) for p in specs.changed_since(a.root, base)], "path string") if base else None
@@ -84,10 +95,19 @@ def _run(a: argparse.Namespace, spark: SparkSession | None) -> int:
     if a.verb == "status":
         print(render.status_json(report) if a.json else "\n".join(r["line"] for r in render.status_lines(report.results).orderBy("ord").collect()))
         return 0
+    at, said = str(root.resolve()), tuple(read_diagnostics(spark, a.facts))
+    code = exit_code(totals(report.results).first()["failed"], False, () if a.allow_workspace_diagnostics else said)
     if a.sarif:
-        Path(a.sarif).write_text(render.sarif(report, str(root.resolve())) + "\n")
-    print(render.check_json(report, root.resolve().name, str(root.resolve()), base) if a.json else render.human(report, str(root.resolve())), end="")
-    return exit_code(totals(report.results).first()["failed"], False)
+        with open(a.sarif, "w") as f:
+            f.writelines(render.sarif_parts(report, at, code != 2, said))
+    if a.json:
+        print(render.check_json(report, root.resolve().name, at, base, said), end="")
+        return code
+    for line in render.human_lines(report, at):
+        print(line)
+    for d in said:
+        print(f"diagnostic: {d}", file=sys.stderr)
+    return code
 
 
 def _baseline(a: argparse.Namespace, report: Report, known, sections, root: Path) -> int:

@@ -78,21 +78,6 @@ def add_entry(violations: DataFrame, baseline: DataFrame, rule_id: str, because:
     return _matching(baseline.select("rule_id", *SLOTS, "because"), new, "left_anti").unionByName(new)
 
 
-def entry_text(source: F.Column, target: F.Column, subject: F.Column, because: F.Column) -> F.Column:
-    """The lines that stand for an entry in the digest."""
-    line = F.when(subject.isNotNull(), F.concat(F.lit("subject "), subject)).otherwise(F.concat(F.lit("edge "), source, F.lit(" -> "), target))
-    return F.concat(line, F.lit("\n"), F.when(because.isNotNull(), F.concat(F.lit("because "), because, F.lit("\n"))).otherwise(F.lit("")))
-
-
-def digests(baseline: DataFrame, sections: DataFrame) -> DataFrame:
-    """(rule_id, digest): the SHA-256 of each section on its own."""
-    own = entries(baseline)
-    key = F.struct(F.coalesce("source", "subject").alias("a"), F.coalesce("target", F.lit("")).alias("b"), entry_text(*[F.col(c) for c in (*SLOTS, "because")]).alias("t"))
-    text = own.groupBy("rule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda k: k.t), "").alias("text"))
-    body = F.concat(F.lit(f"{PREAMBLE}\nrule "), F.col("rule_id"), F.lit("\n"), F.coalesce("text", F.lit("")))
-    return sections.select("rule_id").distinct().join(text, "rule_id", "left").select("rule_id", F.sha2(body, 256).alias("digest"))
-
-
 def digest_of(rules: dict[str, list[dict]]) -> str:
     """The digest of sections on the driver: rule id to entries (dictionaries of slots and because)."""
     text = PREAMBLE + "\n"
@@ -102,9 +87,3 @@ def digest_of(rules: dict[str, list[dict]]) -> str:
             text += f"subject {e['subject']}\n" if e.get("subject") else f"edge {e['source']} -> {e['target']}\n"
             text += f"because {e['because']}\n" if e.get("because") else ""
     return hashlib.sha256(text.encode()).hexdigest()
-
-
-def tampered(stored: DataFrame, baseline: DataFrame, sections: DataFrame) -> DataFrame:
-    """(rule_id): sections whose stored digest (rule_id, digest) isn't that of their entries."""
-    now = digests(baseline, sections).withColumnRenamed("digest", "now")
-    return stored.join(now, "rule_id", "full").where(~F.col("digest").eqNullSafe(F.col("now"))).select("rule_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop, written
+
 
 def decomposed(expression: Column) -> Column:
     """All type names that a type expression is made of, each once: a generic type by its name and
@@ -82,18 +84,50 @@ def recognised_registrations(calls: DataFrame) -> DataFrame:
     return own.groupBy("r.lifetime", "r.service", "r.implementation").agg(F.array_sort(F.collect_set("site")).alias("sites"))
 
 
-def derived_hierarchy(direct: DataFrame, most: int = 64) -> DataFrame:
-    """(full_name, base, depth): all bases of each type from direct ones (full_name, base), nearest
-    first. Type arguments aren't substituted: names alone don't tell how."""
-    from ..session import written
+def substituted(base: Column, parameters: Column, arguments: Column) -> Column:
+    """A constructed name with the type parameters in it replaced by arguments, all at once: a name
+    counts where no letter, digit, underscore or dot stands beside it."""
+    # first to marks that no name holds, then to the arguments, so that none is replaced twice
+    marked = F.aggregate(F.sequence(F.lit(1), F.size(parameters)), base, lambda acc, i: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\w.])"), F.element_at(parameters, i), F.lit(r"(?![\w.])")), F.concat(F.lit("\u0001"), i.cast("string"), F.lit("\u0002"))))
+    filled = F.aggregate(F.sequence(F.lit(1), F.size(parameters)), marked, lambda acc, i: F.replace(acc, F.concat(F.lit("\u0001"), i.cast("string"), F.lit("\u0002")), F.element_at(arguments, i)))
+    return F.when(F.size(parameters) == F.size(arguments), F.when(F.size(parameters) > 0, filled).otherwise(base)).otherwise(base)
+
+
+def arguments_of(name: Column) -> Column:
+    """The type arguments of a constructed name, `IMap<A, IList<B>>` giving A and IList<B>; none of a bare one."""
+    inner = F.regexp_extract(name, r"<(.*)>\z", 1)
+    # a comma parts arguments where as many lists are closed before it as opened
+    pieces = F.split(inner, ",")
+    depth = lambda x: F.length(F.regexp_replace(x, "[^<]", "")) - F.length(F.regexp_replace(x, "[^>]", ""))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
-    found = written(direct.select("full_name", "base").distinct().withColumn("depth", F.lit(1)), "bases")
-    frontier = found
-    for depth in range(2, most + 1):
-        step = frontier.alias("f").join(direct.alias("d"), F.col("f.base") == F.col("d.full_name")).select(F.col("f.full_name"), F.col("d.base").alias("base")).distinct()
+    def step(acc: Column, piece: Column) -> Column:
+        text = F.when(acc.open == "", piece).otherwise(F.concat(acc.open, F.lit(","), piece))
+        return F.struct(F.when(depth(text) == 0, F.concat(acc.done, F.array(F.trim(text)))).otherwise(acc.done).alias("done"), F.when(depth(text) == 0, "").otherwise(text).alias("open"))
+
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.aggregate(pieces, start, step, lambda acc: acc.done))
+
+
+def derived_hierarchy(direct: DataFrame) -> DataFrame:
+    """(full_name, base, depth): all bases of each type from direct ones (full_name, base), nearest
+    first, however long the chain. A base of a generic type, named by its definition `Box<T>`, has
+    the arguments put in with which a type derives from it: of `Ints` below `Box<Int>` below
+    `List<T>` also `List<Int>`."""
+    own = direct.select("full_name", "base").distinct()
+    bare = lambda c: F.concat(F.regexp_extract(c, r"\A([^<]*)", 1), F.lit("`"), F.size(arguments_of(c)).cast("string"))
+    keyed = written(own.select(bare(F.col("full_name")).alias("key"), arguments_of(F.col("full_name")).alias("parameters"), F.col("base").alias("next")), "direct")
+    found = written(own.withColumn("depth", F.lit(1)), "bases")
+    frontier, depth = found, 1
+    while True:
+        depth += 1
+        step = frontier.select("full_name", bare(F.col("base")).alias("key"), arguments_of(F.col("base")).alias("arguments")).join(keyed, "key")
+        step = step.select("full_name", substituted(F.col("next"), F.col("parameters"), F.col("arguments")).alias("base")).distinct()
         step = step.join(found, ["full_name", "base"], "left_anti").where("full_name <> base").withColumn("depth", F.lit(depth))
-        frontier = written(step, "bases")
+        before, frontier = frontier, written(step, "bases")
+        if before is not found:
+            drop(before)
         if frontier.isEmpty():
-            break
-        found = written(found.unionByName(frontier), "bases")
-    return found
+            drop(keyed)
+            return found
+        before, found = found, written(found.unionByName(frontier), "bases")
+        drop(before)

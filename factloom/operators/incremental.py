@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import drop, written
 
 
 def content_keys(files: DataFrame) -> DataFrame:
@@ -21,27 +21,29 @@ def dependency_edges(projects: DataFrame) -> DataFrame:
     return refs.join(projects.select(F.col("name").alias("reference")), "reference", "left_semi").select("project", "reference").distinct()
 
 
-def merkle_keys(keys: DataFrame, projects: DataFrame, rounds: int = 10_000) -> DataFrame:
+def merkle_keys(keys: DataFrame, projects: DataFrame) -> DataFrame:
     """(project, key): a hash of a project's own key and the keys of what it references, level by
     level from the projects that reference nothing. Projects on a cycle, and those that depend on
     one, get a hash of their own key and of the settled ones."""
     edges = written(dependency_edges(projects.join(keys, projects.name == keys.project, "left_semi")), "references")
     open_ = keys.select("project", "key")
     done = written(open_.join(edges, "project", "left_anti").select("project", F.sha2("key", 256).alias("key")), "keys")
-    for _ in range(rounds):
+    while True:
         waiting = open_.join(done, "project", "left_anti")
         blocked = edges.join(done.select(F.col("project").alias("reference")), "reference", "left_anti").select("project").distinct()
         ready = waiting.join(blocked, "project", "left_anti")
-        if ready.isEmpty():
-            ready, rounds = waiting, 0
-            if ready.isEmpty():
-                break
-        mine = ready.join(edges, "project").join(done.select(F.col("project").alias("reference"), F.col("key").alias("k")), "reference", "left")
+        last = ready.isEmpty()
+        if last and waiting.isEmpty():
+            break
+        # where nothing is ready, what waits is on a cycle or behind one
+        mine = (waiting if last else ready).join(edges, "project").join(done.select(F.col("project").alias("reference"), F.col("key").alias("k")), "reference", "left")
         part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reference", "k"))), lambda x: F.coalesce(x.k, F.lit(""))), "\0")
         level = mine.groupBy("project", "key").agg(part.alias("below")).select("project", F.sha2(F.concat("key", F.lit("\0"), "below"), 256).alias("key"))
-        done = written(done.unionByName(level), "keys")
-        if not rounds:
+        before, done = done, written(done.unionByName(level), "keys")
+        drop(before)
+        if last:
             break
+    drop(edges)
     return done
 
 
@@ -60,10 +62,13 @@ def with_dependents(changed: DataFrame, edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("reference").alias("r"), F.col("project").alias("p"))
     while True:
         step = frontier.join(back, F.col("project") == F.col("r")).select(F.col("p").alias("project")).distinct().join(reached, "project", "left_anti")
-        frontier = written(step, "frontier")
+        before, frontier = frontier, written(step, "frontier")
+        if before is not reached:
+            drop(before)
         if frontier.isEmpty():
             return reached
-        reached = written(reached.unionByName(frontier), "reached")
+        before, reached = reached, written(reached.unionByName(frontier), "reached")
+        drop(before)
 
 
 def refreshed(old: DataFrame, new: DataFrame, again: DataFrame, column: str = "project") -> DataFrame:

@@ -1,7 +1,9 @@
 """A whole rule set as one plan.
 
-Each selection, of whatever rule, becomes one flag of a single scan of the types. Each family of
-edges is read once and joined twice with the flags, and a row comes out for every rule that the
+Each selection, of whatever rule, becomes one flag of a single scan of the types, which is
+written as a narrow table and read by all that follows; so are the members that some rule's
+subject holds. Each family of edges is read once, only the edges of subjects where all rules
+have theirs on one side, joined twice with the flags, and a row comes out for every rule that the
 edge breaks. So the number of scans depends on the families used, not on the number of rules.
 """
 
@@ -17,6 +19,7 @@ from ..functions.names import member_display
 from ..functions.patterns import name_like, namespace_like
 from ..operators.select import RuleFault, Scan, built_from, columns_of, first_error, guarded, member_condition
 from ..schema import SITES, VIOLATIONS, Facts
+from ..session import written
 from ..spec import Constraint, MemberSelection, Rule
 
 #: Rules of one plan; a larger set becomes several plans, each of which reads the facts again.
@@ -174,12 +177,14 @@ def _evaluate(facts: Facts, rules: list[Rule]) -> Compiled:
                     members = members.withColumn(f"__{id(f)}", guarded(f.value, facts.members, "symbol_id")(F.lit(True)))
                     p.errors.append(f"__{id(f)}")
     demanded = {f"v{p.number}": F.col(p.subject) & ~F.coalesce(p.demand, F.lit(False)) for p in plans if p.demand is not None and p.subject and p.member is None and p.demand_column is None}
-    flags = scan.table(["full_name", "symbol_id", "is_external", "declaration_sites"], demanded)
-    for p in plans:
-        if p.demand_column and p.member is None:
-            raw = guarded(p.rule.constraint.value, facts.types)(F.col(p.subject))
-            flags = flags.join(scan.table([*facts.types.columns]).withColumn(p.demand_column, raw).select(F.col("full_name").alias("__n"), p.demand_column), F.col("full_name") == F.col("__n"), "left").drop("__n")
-            p.late_errors.append(p.demand_column)
+    python = [p for p in plans if p.demand_column and p.member is None]
+    shown = ["full_name", "symbol_id", "is_external"] + ["declaration_sites"] * any(p.demand is not None and p.member is None for p in plans)
+    flags = scan.table(facts.types.columns if python else shown, demanded)
+    for p in python:
+        flags = flags.withColumn(p.demand_column, guarded(p.rule.constraint.value, facts.types)(F.col(p.subject)))
+        p.late_errors.append(p.demand_column)
+    # read three times and more: the ends of the edges, the shapes, the state of the rules
+    flags = written(flags.select(*shown, *scan.columns, *demanded, *[p.demand_column for p in python]), "flags")
     found: list[DataFrame] = []
     for family in dict.fromkeys(EDGE_VERBS[p.rule.constraint.verb].family for p in plans if p.rule.constraint.verb in EDGE_VERBS and p.subject and not p.late_fault):
         found.append(_edges(facts, flags, [p for p in plans if p.rule.constraint.verb in EDGE_VERBS and EDGE_VERBS[p.rule.constraint.verb].family == family and p.subject and not p.late_fault], family))
@@ -200,7 +205,15 @@ def _evaluate(facts: Facts, rules: list[Rule]) -> Compiled:
             if p.demand_column:
                 joined = joined.withColumn(p.demand_column, guarded(p.rule.constraint.value, facts.members, "symbol_id")(F.col(f"m{p.number}")))
                 p.late_errors.append(p.demand_column)
-        broken = [(p.number, F.col(f"m{p.number}") & ~F.coalesce(F.col(f"{p.demand_column}.ok") if p.demand_column else p.demand, F.lit(False))) for p in shaped if p.demand is not None and not p.late_fault]
+        held = ["declaring_type", "symbol_id", "name", "kind", "declaration_sites", *[f"m{p.number}" for p in shaped]]
+        tested = {f"x{p.number}": F.col(f"m{p.number}") & ~F.coalesce(F.col(f"{p.demand_column}.ok") if p.demand_column else p.demand, F.lit(False)) for p in shaped if p.demand is not None and not p.late_fault}
+        failing = dict.fromkeys(e for p in shaped for e in p.errors + p.late_errors if e in joined.columns and e not in flags.columns)
+        of_rules = _any([f"m{p.number}" for p in shaped])
+        for e in failing:
+            of_rules = of_rules | F.col(f"{e}.err").isNotNull()
+        # only members of subjects, and those that a predicate failed on
+        joined = written(joined.where(of_rules).select(*held, *failing, *[c.alias(n) for n, c in tested.items()]), "members")
+        broken = [(int(n[1:]), F.col(n)) for n in tested]
         if broken:
             found.append(joined.select("declaring_type", "symbol_id", "name", F.col("kind").alias("__kind"), "declaration_sites", _broken(broken)).select(*_row("MemberShape", member_symbol_id=F.col("symbol_id"), member_display=member_display(F.col("declaring_type"), F.col("name"), F.col("__kind")), sites=F.col("declaration_sites"), id_subject=F.col("symbol_id"))))
     state = _state(flags, joined, plans, spark)
@@ -274,6 +287,8 @@ def _edges(facts: Facts, flags: DataFrame, plans: list[_Plan], family: str) -> D
         if len(of_interest[name]) == len(plans):
             keep = frame.where(_any(list(dict.fromkeys(of_interest[name])), f"{name}_"))
             source, target = (keep, target) if name == "source" else (source, keep)
+            # moves below whatever groups the edges by their ends, which the join that follows can't
+            own = own.join(keep.select(f"__{name}"), F.col(name) == F.col(f"__{name}"), "left_semi")
     how = {"source": "inner" if not of_interest["target"] else "left", "target": "inner" if not of_interest["source"] else "left"}
     joined = own.join(source, F.col("source") == F.col("__source"), how["source"]).join(target, F.col("target") == F.col("__target"), how["target"])
     kind = EDGE_VERBS[plans[0].rule.constraint.verb].kind
@@ -288,7 +303,9 @@ def _uses(facts: Facts, flags: DataFrame, plans: list[_Plan]) -> DataFrame:
             bans.setdefault((m.type.definition, m.name), []).append(p.number)
     # a row per banned member, joined by key: a spec may ban any number of them
     table = facts.types.sparkSession.createDataFrame([(t, n, sorted(set(r))) for (t, n), r in bans.items()], "__type string, __name string, __rules array<int>")
-    own = facts.member_edges.join(table, (F.col("containing_type") == F.col("__type")) & (F.col("member_name") == F.col("__name")))
+    same = (F.col("containing_type") == F.col("__type")) & (F.col("member_name") == F.col("__name"))
+    # both move below whatever groups the edges
+    own = facts.member_edges.join(users.select("__source"), F.col("source") == F.col("__source"), "left_semi").join(table, same, "left_semi").join(table, same)
     joined = own.join(users, F.col("source") == F.col("__source"))
     held = F.array(*[F.when(F.col(p.subject), F.lit(p.number)) for p in plans])
     chosen = F.explode(F.filter(F.array_intersect(held, F.col("__rules")), lambda x: x.isNotNull())).alias("rule")

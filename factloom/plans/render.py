@@ -1,21 +1,23 @@
 """Reports as text, JSON and SARIF.
 
-Lines of sites are made by Spark; what is collected is what is shown, and max_sites bounds it.
+Lines of sites, violations in JSON and SARIF results are made by Spark and come to the driver a
+partition at a time, in the order of the report; it holds what each rule has in few lines. The
+tables themselves (site_lines, violations_json, sarif_results) can be written from Spark instead.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import relative_path, symbol_display
-from ..spec import Model
+from ..schema import Facts
+from ..spec import Model, Rule
 from .check import Report, ordered, totals
 
-#: Sites that a report on the driver shows at most; the violations table has them all.
-MAX_SITES = 100_000
 _MARK = {"Passed": "ok", "Failed": "BROKEN", "Skipped": "skipped"}
 
 
@@ -31,34 +33,60 @@ def message() -> F.Column:
 
 
 def site_lines(violations: DataFrame, root: str = "") -> DataFrame:
-    """(rule_id, state, path, line, text): a row per site, one without place for a violation without sites."""
-    each = violations.select("rule_id", "state", message().alias("text"), F.explode_outer("sites").alias("s"))
+    """(rule_id, state, path, line, text): a row per site, one without place for a violation without
+    sites; what isn't as it must be is shown where it is declared first."""
+    shown = F.when(F.col("kind").isin("Shape", "MemberShape"), F.slice("sites", 1, 1)).otherwise(F.col("sites"))
+    each = violations.select("rule_id", "state", message().alias("text"), F.explode_outer(shown).alias("s"))
     return each.select("rule_id", "state", relative_path(F.col("s.file"), root).alias("path"), F.col("s.line").alias("line"), "text")
 
 
-def human(report: Report, root: str = "", max_sites: int = MAX_SITES) -> str:
-    """The report as text: a block for each rule, then the sums."""
-    lines: dict[str, list[str]] = {}
-    own = site_lines(report.violations.where("state = 'new'"), root).orderBy("rule_id", "path", "line", "text").limit(max_sites)
-    for r in own.collect():
-        at = f"{r['path']}({r['line']}): " if r["path"] is not None else ""
-        lines.setdefault(r["rule_id"], []).append(f"  {at}{r['text']}")
+def _by_rule(rows: Iterator[Row], report: Report) -> Iterator[tuple[Rule, Row, Iterator[Row]]]:
+    """Each rule with its result and those of rows, which are in the order of the rules, that are its."""
+    ahead = next(rows, None)
+    for r, rule in zip(report.results.orderBy("ord").collect(), report.model.rules):
+        def own(rule_id: str = rule.id) -> Iterator[Row]:
+            nonlocal ahead
+            while ahead is not None and ahead["rule_id"] == rule_id:
+                yield ahead
+                ahead = next(rows, None)
+
+        mine = own()
+        yield rule, r, mine
+        for _ in mine:  # what wasn't asked for
+            pass
+
+
+def _placed(rows: DataFrame, report: Report, *order: str) -> Iterator[Row]:
+    """Rows in the order of the rules and then as given, a partition of them on the driver at a time."""
+    ranks = F.create_map(*[x for i, r in enumerate(report.model.rules) for x in (F.lit(r.id), F.lit(i))]) if report.model.rules else F.lit(None)
+    return rows.orderBy(ranks[F.col("rule_id")], *order).toLocalIterator()
+
+
+def human_lines(report: Report, root: str = "") -> Iterator[str]:
+    """The lines of human(), one after the other."""
     warned: dict[str, list[str]] = {}
     for r in report.warnings.orderBy("rule_id", "message").collect():
         warned.setdefault(r["rule_id"], []).append(f"  warning: {r['message']}")
-    out = []
-    for r, rule in zip(report.results.orderBy("ord").collect(), report.model.rules):
-        out.append(f"{_MARK[r['status']]} {rule.id}" + (f": {rule.sentence}" if rule.sentence else ""))
+    sites = _placed(site_lines(report.violations.where("state = 'new'"), root), report, "path", "line", "text")
+    for rule, r, own in _by_rule(sites, report):
+        yield f"{_MARK[r['status']]} {rule.id}" + (f": {rule.sentence}" if rule.sentence else "")
         if r["status"] == "Skipped":
-            out.append("  no changed files were given")
+            yield "  no changed files were given"
         if r["status"] == "Failed":
-            out.append(f"  why: {rule.because}")
-            out += [f"  instead: {rule.fix}"] if rule.fix else []
-            out += lines.get(rule.id, [])
-        out += warned.get(rule.id, [])
+            yield f"  why: {rule.because}"
+            if rule.fix:
+                yield f"  instead: {rule.fix}"
+            for s in own:
+                at = f"{s['path']}({s['line']}): " if s["path"] is not None else ""
+                yield f"  {at}{s['text']}"
+        yield from warned.get(rule.id, [])
     t = totals(report.results).first()
-    out.append(f"\n{t['checked']} rules: {t['passed']} hold, {t['failed']} are broken, {t['skipped']} were skipped; {t['violations']} violations, {t['warnings']} warnings.")
-    return "\n".join(out) + "\n"
+    yield f"\n{t['checked']} rules: {t['passed']} hold, {t['failed']} are broken, {t['skipped']} were skipped; {t['violations']} violations, {t['warnings']} warnings."
+
+
+def human(report: Report, root: str = "") -> str:
+    """The report as text: a block for each rule, then the sums."""
+    return "\n".join(human_lines(report, root)) + "\n"
 
 
 def rule_block(report: Report, rule_id: str, root: str = "") -> str:
@@ -79,13 +107,15 @@ def violations_json(violations: DataFrame, root: str = "") -> DataFrame:
 
 def check_json(report: Report, name: str, root: str = "", diff_base: str | None = None, diagnostics: tuple[str, ...] = ()) -> str:
     """The report as JSON."""
-    own: dict[str, list] = {}
-    for r in violations_json(report.violations.where("state = 'new'"), root).collect():
-        own.setdefault(r["rule_id"], []).append(json.loads(r["json"]))
     warned: dict[str, list] = {}
     for r in report.warnings.orderBy("rule_id", "message").collect():
         warned.setdefault(r["rule_id"], []).append({"kind": r["kind"][0].lower() + r["kind"][1:], "message": r["message"]})
     rules = []
+    found = violations_json(report.violations.where("state = 'new'"), root).toLocalIterator()
+    # violations come in the order of rule ids, the report has that of the spec
+    own: dict[str, list] = {}
+    for r in found:
+        own.setdefault(r["rule_id"], []).append(json.loads(r["json"]))
     for r, rule in zip(report.results.orderBy("ord").collect(), report.model.rules):
         body = {"id": rule.id, "posture": rule.posture, "status": r["status"].lower(), "sentence": rule.sentence, "because": rule.because, "fix": rule.fix, "skipReason": "no changed files were given" if r["status"] == "Skipped" else None}
         body["baseline"] = {"path": rule.baseline_path, "grandfathered": r["grandfathered"], "stale": r["stale"]} if rule.baseline_path else None
@@ -106,28 +136,43 @@ def fingerprints(violations: DataFrame, root: str = "") -> DataFrame:
     return each.withColumn("fingerprint", F.concat_ws("|", F.lit("v1"), empty("id_source"), empty("id_target"), empty("id_subject"), F.col("path"), F.col("ordinal").cast("string")))
 
 
-def sarif(report: Report, root: str = "", complete: bool = True, diagnostics: tuple[str, ...] = ()) -> str:
-    """The report in SARIF 2.1.0: a result for each site, excused ones as suppressed notes."""
+def sarif_results(report: Report, root: str = "") -> DataFrame:
+    """(rule_id, json): a SARIF result for each site, in order, excused ones as suppressed notes."""
+    new, line = F.col("state") == "new", lambda *c: F.struct(*c)
+    paths = {r.id: f"recorded in {r.baseline_path}" for r in report.model.rules}
+    recorded = F.create_map(*[F.lit(x) for kv in paths.items() for x in kv])[F.col("rule_id")] if paths else F.lit(None)
+    place = line(line(line(F.col("path").alias("uri"), F.lit("SRCROOT").alias("uriBaseId")).alias("artifactLocation"), line(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation"))
+    body = line(
+        F.col("rule_id").alias("ruleId"), F.when(new, "error").otherwise("note").alias("level"), line(F.col("text").alias("text")).alias("message"), F.array(place).alias("locations"),
+        line(F.col("fingerprint").alias("violation/v1")).alias("partialFingerprints"), F.when(new, "new").otherwise("unchanged").alias("baselineState"),
+        F.when(~new, F.array(line(F.lit("external").alias("kind"), F.coalesce("entry_because", recorded).alias("justification")))).alias("suppressions"),
+    )
+    ranks = F.create_map(*[x for i, r in enumerate(report.model.rules) for x in (F.lit(r.id), F.lit(i))])[F.col("rule_id")] if paths else F.lit(0)
+    empty = lambda *c: F.coalesce(*c, F.lit(""))
+    rows = fingerprints(report.violations, root).orderBy(ranks, ~new, empty("source", "subject"), empty("target"), empty("member_symbol_id"), "pos")
+    return rows.select("rule_id", F.to_json(body).alias("json"))
+
+
+def sarif_parts(report: Report, root: str = "", complete: bool = True, diagnostics: tuple[str, ...] = ()) -> Iterator[str]:
+    """The text of sarif() in parts, for a file; the driver holds one partition of results at a time."""
     rules = []
     for r in report.model.rules:
         body = {"id": r.id, "shortDescription": {"text": r.sentence} if r.sentence else None, "fullDescription": {"text": r.because}, "help": {"text": r.fix} if r.fix else None, "defaultConfiguration": {"level": "error"}, "properties": {"posture": r.posture}}
         rules.append({k: v for k, v in body.items() if v is not None})
-    place = {r.id: (i, r.baseline_path) for i, r in enumerate(report.model.rules)}
-    results = []
-    rows = fingerprints(report.violations, root).collect()
-    for r in sorted(rows, key=lambda r: (place[r["rule_id"]][0], r["state"] != "new", r["source"] or r["subject"] or "", r["target"] or "", r["member_symbol_id"] or "", r["pos"])):
-        new = r["state"] == "new"
-        body = {
-            "ruleId": r["rule_id"], "level": "error" if new else "note", "message": {"text": r["text"]},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["path"], "uriBaseId": "SRCROOT"}, "region": {"startLine": r["line"]}}}],
-            "partialFingerprints": {"violation/v1": r["fingerprint"]}, "baselineState": "new" if new else "unchanged",
-        }
-        if not new:
-            body["suppressions"] = [{"kind": "external", "justification": r["entry_because"] or f"recorded in {place[r['rule_id']][1]}"}]
-        results.append(body)
     run = {"executionSuccessful": complete} | ({"toolExecutionNotifications": [{"message": {"text": d}, "level": "warning"} for d in diagnostics]} if diagnostics else {})
-    document = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "factloom", "rules": rules}}, "invocations": [run], "originalUriBaseIds": {"SRCROOT": {}}, "results": results}]}
-    return json.dumps(document, indent=2, ensure_ascii=False)
+    document = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "factloom", "rules": rules}}, "invocations": [run], "originalUriBaseIds": {"SRCROOT": {}}, "results": []}]}
+    head, _, tail = json.dumps(document, indent=2, ensure_ascii=False).rpartition("[]")
+    yield head + "["
+    some = False
+    for r in sarif_results(report, root).toLocalIterator():
+        yield ("," if some else "") + "\n        " + r["json"]
+        some = True
+    yield ("\n      ]" if some else "]") + tail + "\n"
+
+
+def sarif(report: Report, root: str = "", complete: bool = True, diagnostics: tuple[str, ...] = ()) -> str:
+    """The report in SARIF 2.1.0: a result for each site, excused ones as suppressed notes."""
+    return "".join(sarif_parts(report, root, complete, diagnostics))
 
 
 def status_lines(results: DataFrame) -> DataFrame:
@@ -177,14 +222,38 @@ BEGIN, END = "<!-- factloom:begin -->", "<!-- factloom:end -->"
 
 def splice(existing: str, body: str) -> str:
     """existing with body between the marks, which are added at the end if there are none; all
-    else stays. Marks that don't pair up once are an error."""
-    block = f"{BEGIN}\n{body.strip()}\n{END}"
+    else stays, and lines end as most of existing's do. Marks that don't pair up once are an error."""
     n, m = existing.count(BEGIN), existing.count(END)
     if n != m or n > 1 or n and existing.index(BEGIN) > existing.index(END):
         raise ValueError("the marks of the managed block don't pair up")
-    if not n:
-        return f"{existing.rstrip()}\n\n{block}\n" if existing.strip() else block + "\n"
-    return existing[: existing.index(BEGIN)] + block + existing[existing.index(END) + len(END) :]
+    many = existing.count("\r\n")
+    newline = "\r\n" if 2 * many > existing.count("\n") else "\n"
+    lines = newline.join(body.strip().replace("\r\n", "\n").split("\n"))
+    if n:
+        return existing[: existing.index(BEGIN) + len(BEGIN)] + newline + lines + newline + existing[existing.index(END) :]
+    block = BEGIN + newline + lines + newline + END + newline
+    return f"{existing.rstrip('\r\n')}{newline}{newline}{block}" if existing.strip() else block
+
+
+def context_of(facts: Facts, model: Model, path: str, root: str = "") -> str:
+    """What is to be known of a file or folder, as text: the frozen areas and the layers that it
+    lies in, with their rules; a line that says where to look if it lies in none."""
+    from ..operators import survey
+
+    own = path.replace("\\", "/").rstrip("/")
+    base = root.replace("\\", "/").rstrip("/")
+    asked = [own] if own.startswith("/") or not base else [own, f"{base}/{own}"]
+    inside = lambda places: any(not survey.covering(places.where("directory <> ''"), p).isEmpty() for p in asked)
+    out = []
+    by_id = {r.id: r for r in model.rules}
+    for name, places in survey.frozen_places(facts, model):
+        if inside(places):
+            rule = by_id[f"{name}/containment"]
+            out.append(f"Frozen: {name}\n{rule.sentence} {rule.because}" + (f"\nBeware: {rule.dragons or rule.dragons_doc}" if rule.dragons or rule.dragons_doc else ""))
+    for name, rules, places in survey.layer_places(facts, model):
+        if inside(places):
+            out.append(f"Layer: {name}\n" + "\n".join(f"- `{i}`: {by_id[i].sentence} {by_id[i].because}" for i in rules))
+    return "\n\n".join(out) + "\n" if out else f"Nothing frozen and no layer with rules covers '{path}'; `explain` shows a rule, `render` writes all of them.\n"
 
 
 def context(model: Model) -> str:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names, patterns
@@ -18,7 +19,7 @@ from .plans import render
 from .plans.compile import evaluate
 from .schema import BASELINE, Facts
 from .session import written
-from .sources import star
+from .sources import baselines, star
 from .sources.tables import changed_files
 from .spec import Constraint, MemberSelection, Selection, Spec
 
@@ -41,31 +42,36 @@ li AS (
     'Geo.R' || n_regionkey || '.Nation' || n_nationkey AS nat, p_size, o_orderstatus, o_orderpriority, o_orderkey, c_nationkey
   FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 )"""
-_HOME = "SELECT {who}, 'Geo.R' || n_regionkey || '.Nation' || n_nationkey, 0, 1 FROM {frm} JOIN nation ON {key} = n_nationkey"
+_HOME = "SELECT {who}, 'Geo.R' || n_regionkey || '.Nation' || n_nationkey, '{frm}/N' || {key}, 1 FROM {frm} JOIN nation ON {key} = n_nationkey"
 _CUST = _HOME.format(who="'Star.Sales.' || c_mktsegment || '.Customer' || c_custkey", frm="customer", key="c_nationkey")
 _SUPP = _HOME.format(who="'Star.Supply.N' || s_nationkey || '.Supplier' || s_suppkey", frm="supplier", key="s_nationkey")
 _RAW = {
-    "reference": f"SELECT cust AS source, part AS target, l_orderkey AS f, l_linenumber AS n FROM li UNION ALL {_CUST} UNION ALL {_SUPP}",
-    "construct": "SELECT cust AS source, part AS target, l_orderkey AS f, l_linenumber AS n FROM li WHERE l_returnflag = 'R'",
-    "inject": "SELECT part AS source, supp AS target, l_orderkey AS f, l_linenumber AS n FROM li WHERE l_linestatus = 'O'",
-    "catch": "SELECT supp AS source, part AS target, l_orderkey AS f, l_linenumber AS n FROM li WHERE l_returnflag = 'A'",
-    "throw": "SELECT cust AS source, nat AS target, l_orderkey AS f, l_linenumber AS n FROM li WHERE l_linestatus = 'F' UNION ALL SELECT cust, supp, l_orderkey, l_linenumber FROM li WHERE l_linestatus = 'F'",
-    "expose": f"SELECT supp AS source, part AS target, l_orderkey AS f, l_linenumber AS n FROM li WHERE l_discount >= 0.09 UNION ALL {_SUPP}",
+    "reference": f"SELECT cust AS source, part AS target, 'orders/' || l_orderkey AS f, l_linenumber AS n FROM li UNION ALL {_CUST} UNION ALL {_SUPP}",
+    "construct": "SELECT cust AS source, part AS target, 'orders/' || l_orderkey AS f, l_linenumber AS n FROM li WHERE l_returnflag = 'R'",
+    "inject": "SELECT part AS source, supp AS target, 'orders/' || l_orderkey AS f, l_linenumber AS n FROM li WHERE l_linestatus = 'O'",
+    "catch": "SELECT supp AS source, part AS target, 'orders/' || l_orderkey AS f, l_linenumber AS n FROM li WHERE l_returnflag = 'A'",
+    "throw": "SELECT cust AS source, nat AS target, 'orders/' || l_orderkey AS f, l_linenumber AS n FROM li WHERE l_linestatus = 'F' UNION ALL SELECT cust, supp, 'orders/' || l_orderkey, l_linenumber FROM li WHERE l_linestatus = 'F'",
+    "expose": f"SELECT supp AS source, part AS target, 'orders/' || l_orderkey AS f, l_linenumber AS n FROM li WHERE l_discount >= 0.09 UNION ALL {_SUPP}",
 }
 MEMBERS_SQL = """
 mem AS (
-  SELECT *, CASE kind WHEN 'Method' THEN 'M' WHEN 'Property' THEN 'P' ELSE 'F' END || ':' || owner || '.' || name AS id FROM (
+  SELECT *, left(kind, 1) || ':' || owner || '.' || name AS id FROM (
     SELECT 'Star.Sales.' || c_mktsegment || '.Customer' || c_custkey AS owner, 'Customer' || c_custkey AS owner_name, o_orderkey AS ok, o_orderpriority AS prio, o_totalprice AS price,
       'Order' || o_orderkey || CASE WHEN o_orderpriority LIKE '1%' THEN 'Async' ELSE 'P' || substr(o_orderpriority, 1, 1) END AS name,
-      CASE o_orderstatus WHEN 'F' THEN 'Method' WHEN 'O' THEN 'Property' ELSE 'Field' END AS kind,
+      CASE o_orderstatus WHEN 'F' THEN 'Method' WHEN 'O' THEN CASE WHEN o_orderkey % 8 = 0 THEN 'Event' ELSE 'Property' END ELSE 'Field' END AS kind,
       CASE WHEN o_totalprice >= 200000 THEN 'Public' WHEN o_orderkey % 3 = 0 THEN 'Internal' ELSE 'Private' END AS access, 'customer/N' || c_nationkey AS file
     FROM orders JOIN customer ON o_custkey = c_custkey)
 )"""
 
 
+def sites_sql(file: str = "'orders/' || l_orderkey", line: str = "l_linenumber") -> str:
+    """An aggregate: the distinct sites of a group, in order, as sites() writes them."""
+    return f"array_to_string(list_transform(list_sort(list_distinct(list({{'f': {file}, 'n': {line}}}))), lambda x: x.f || ':' || x.n), ' ')"
+
+
 def family_sql(family: str) -> str:
-    """A CTE of a family's edges with their number of sites."""
-    return f"{family} AS (SELECT source, target, CAST(count(DISTINCT (f, n)) AS BIGINT) AS n_sites FROM ({_RAW[family]}) GROUP BY ALL)"
+    """A CTE of a family's edges with their sites."""
+    return f"{family} AS (SELECT source, target, {sites_sql('f', 'n')} AS sites_text FROM ({_RAW[family]}) GROUP BY ALL)"
 
 
 def sql(body: str, *ctes: str) -> str:
@@ -81,7 +87,7 @@ def types_sql(where: str) -> str:
 
 def edges_sql(family: str, kind: str, where: str) -> str:
     """Edges that break a rule; s and t are the types at their ends."""
-    body = f"SELECT '{kind}' AS kind, e.source, e.target, n_sites FROM {family} e JOIN types s ON e.source = s.full_name JOIN types t ON e.target = t.full_name WHERE {where}"
+    body = f"SELECT '{kind}' AS kind, e.source, e.target, sites_text FROM {family} e JOIN types s ON e.source = s.full_name JOIN types t ON e.target = t.full_name WHERE {where}"
     return sql(body, "types", "li", family)
 
 
@@ -125,9 +131,9 @@ def _violations(*makes: Callable[[Spec], Constraint]) -> Callable[[SparkSession,
     return lambda spark, d: evaluate(star.facts(spark, d), ruled(*makes).build().rules).violations
 
 
-def sites() -> F.Column:
-    """The number of sites."""
-    return F.size("sites").cast("long").alias("n_sites")
+def sites(column: str = "sites") -> F.Column:
+    """The sites in their order, as text."""
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x.file, x.line)), " ").alias("sites_text")
 
 
 def _edge(name: str, make: Callable[[Spec], Constraint], oracle: str) -> None:
@@ -187,7 +193,15 @@ _members("m02_with_prefix", lambda s: s.types().members.with_prefix("Order12"),
 _members("m03_with_name_matching", lambda s: s.types().members.with_name_matching("Order*5P*"), "regexp_full_match(name, 'Order.*5P.*')")
 _members("m04_returning", lambda s: s.types().methods.returning("Status.1-URGENT", "Status.2-HIGH"), "kind = 'Method' AND prio IN ('1-URGENT', '2-HIGH')")
 _members("m05_where", lambda s: s.types().members.where(lambda m: m.is_static & m.is_abstract, "are static and abstract"), "ok % 10 = 0")
-_add("m06_order", lambda spark, d: ordered_members(select_members(star.facts(spark, d), Spec().namespace("Star.Sales.BUILDING").methods)).select("declaring_type", "symbol_id").limit(100), sql("SELECT owner AS declaring_type, id AS symbol_id FROM mem WHERE kind = 'Method' AND owner LIKE 'Star.Sales.BUILDING.%' ORDER BY owner, id LIMIT 100", "mem"))
+
+
+def _placed(ordered: DataFrame, *keys: str) -> DataFrame:
+    """ordered with the place of each row among those of its keys, as it came."""
+    numbered = ordered.withColumn("__n", F.monotonically_increasing_id())
+    return numbered.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("__n")).cast("long")).drop("__n")
+
+
+_add("m06_order", lambda spark, d: _placed(ordered_members(select_members(star.facts(spark, d), Spec().namespace("Star.Sales.BUILDING").methods)).select("declaring_type", "symbol_id"), "declaring_type"), sql("SELECT owner AS declaring_type, id AS symbol_id, row_number() OVER (PARTITION BY owner ORDER BY id) AS place FROM mem WHERE kind = 'Method' AND owner LIKE 'Star.Sales.BUILDING.%'", "mem"))
 # edges
 _edge("d01_must_not_reference", lambda s: sales_subject(s).must_not_reference(s.namespace("Star.Catalog.ECONOMY.*")), edges_sql("reference", "Reference", "s.namespace = 'Star.Sales.BUILDING' AND t.namespace = 'Star.Catalog.ECONOMY'"))
 _edge("d02_must_not_be_referenced_by", lambda s: s.namespace("Star.Catalog.ECONOMY").must_not_be_referenced_by(sales_subject(s)), edges_sql("reference", "Reference", "s.namespace = 'Star.Sales.BUILDING' AND t.namespace = 'Star.Catalog.ECONOMY'"))
@@ -195,14 +209,17 @@ _edge("d03_must_only_reference", lambda s: s.namespace(SALES).must_only_referenc
 _edge("d04_must_only_be_referenced_by", lambda s: s.namespace(CATALOG).must_only_be_referenced_by(s.namespace("Star.Sales.B*")), edges_sql("reference", "Reference", "t.project = 'Catalog' AND s.namespace NOT LIKE 'Star.Sales.B%'"))
 
 
-def _use(s: Spec) -> Constraint:
-    own = [s.member(f"Star.Sales.BUILDING.Customer{k}", f"Order{o}{x}") for k in range(1, 31) for o in range(0, 60) for x in ("P2", "P3", "Async")]
-    return s.namespace(SUPPLY).must_not_use(*own)
+def _banned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers mustn't use every 97th order of the customers of one segment."""
+    own = star.members(spark, sf_dir).where("declaring_type like 'Star.Sales.BUILDING.%'").select("declaring_type", "name", F.regexp_extract("name", r"Order(\d+)", 1).cast("long").alias("o"))
+    rows = own.where("o % 97 = 0").orderBy("o").collect()
+    ban = lambda s: s.namespace(SUPPLY).must_not_use(*[s.member(r["declaring_type"], r["name"]) for r in rows])
+    return _violations(ban)(spark, sf_dir).select("kind", "source", F.col("member_symbol_id").alias("member"), sites())
 
 
-_add("d05_must_not_use", lambda spark, d: _violations(_use)(spark, d).select("kind", "source", F.col("member_symbol_id").alias("member"), sites()), sql("SELECT 'MemberUse' AS kind, supp AS source, id AS member, CAST(count(DISTINCT (l_orderkey, l_linenumber)) AS BIGINT) AS n_sites FROM li JOIN mem ON li.cust = mem.owner AND li.o_orderkey = mem.ok WHERE cust LIKE 'Star.Sales.BUILDING.%' AND CAST(substr(owner_name, 9) AS INT) BETWEEN 1 AND 30 AND ok < 60 AND (name LIKE '%P2' OR name LIKE '%P3' OR name LIKE '%Async') GROUP BY ALL", "li", "mem"))
+_add("d05_must_not_use", _banned, sql("SELECT 'MemberUse' AS kind, supp AS source, id AS member, " + sites_sql() + " AS sites_text FROM li JOIN mem ON li.cust = mem.owner AND li.o_orderkey = mem.ok WHERE ok % 97 = 0 AND owner LIKE 'Star.Sales.BUILDING.%' GROUP BY ALL", "li", "mem"))
 _edge("d06_must_not_construct", lambda s: sales_subject(s).must_not_construct(s.types().implementing(CLOSED)), edges_sql("construct", "Construction", "s.namespace = 'Star.Sales.BUILDING' AND t.iface = 'Star.IStock<ECONOMY>'"))
-_edge("d07_must_not_inject", lambda s: s.registered("Singleton").must_not_inject(s.registered("Scoped")), sql("SELECT 'Injection' AS kind, source, target, n_sites FROM inject WHERE source IN (SELECT part FROM reg WHERE life = 'Singleton' UNION SELECT impl FROM reg WHERE life = 'Singleton' AND impl IS NOT NULL) AND target IN (SELECT part FROM reg WHERE life = 'Scoped' UNION SELECT impl FROM reg WHERE life = 'Scoped' AND impl IS NOT NULL)", "li", _REG, "inject"))
+_edge("d07_must_not_inject", lambda s: s.registered("Singleton").must_not_inject(s.registered("Scoped")), sql("SELECT 'Injection' AS kind, source, target, sites_text FROM inject WHERE source IN (SELECT part FROM reg WHERE life = 'Singleton' UNION SELECT impl FROM reg WHERE life = 'Singleton' AND impl IS NOT NULL) AND target IN (SELECT part FROM reg WHERE life = 'Scoped' UNION SELECT impl FROM reg WHERE life = 'Scoped' AND impl IS NOT NULL)", "li", _REG, "inject"))
 _edge("d08_must_not_catch", lambda s: s.project("Supply").must_not_catch(s.namespace("Star.Catalog.STANDARD")), edges_sql("catch", "Catch", "s.project = 'Supply' AND t.namespace = 'Star.Catalog.STANDARD'"))
 _edge("d09_must_not_expose", lambda s: s.project("Supply").must_not_expose(s.project("Geo")), edges_sql("expose", "Expose", "t.project = 'Geo'"))
 _edge("d10_must_only_throw", lambda s: s.project("Sales").must_only_throw(s.project("Supply")), edges_sql("throw", "Throw", "s.project = 'Sales' AND t.project <> 'Supply'"))
@@ -294,7 +311,7 @@ def _stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("r04_stale", _stale, "SELECT 'buy/economy' AS rule_id, 'T:Gone' || i AS source FROM range(5) t(i)")
-_add("r06_identity", lambda spark, d: _violations(lambda s: sales_subject(s).must_not_reference(s.namespace("Star.Catalog.ECONOMY")))(spark, d).select("id_source", "id_target", "id_subject"), edges_sql("reference", "x", "s.namespace = 'Star.Sales.BUILDING' AND t.namespace = 'Star.Catalog.ECONOMY'").replace("SELECT 'x' AS kind, e.source, e.target, n_sites", "SELECT 'T:' || e.source AS id_source, 'T:' || e.target AS id_target, CAST(NULL AS VARCHAR) AS id_subject"))
+_add("r06_identity", lambda spark, d: _violations(lambda s: sales_subject(s).must_not_reference(s.namespace("Star.Catalog.ECONOMY")))(spark, d).select("id_source", "id_target", "id_subject"), edges_sql("reference", "x", "s.namespace = 'Star.Sales.BUILDING' AND t.namespace = 'Star.Catalog.ECONOMY'").replace("SELECT 'x' AS kind, e.source, e.target, sites_text", "SELECT 'T:' || e.source AS id_source, 'T:' || e.target AS id_target, CAST(NULL AS VARCHAR) AS id_subject"))
 
 
 def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +338,7 @@ _add("r08_freeze_hermetic", _containment(False), edges_sql("reference", "Referen
 _add("r09_tripwire", lambda spark, d: _report(spark, d).warnings.where("kind = 'FrozenScopeTouched'").select("rule_id", "message"), "SELECT DISTINCT 'hermetic/tripwire' AS rule_id, 'a frozen file has changed: customer/N' || c_nationkey AS message FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_nationkey % 2 = 0")
 _add("r09_tripwire_skipped", lambda spark, d: _report(spark, d, False).results.where("status = 'Skipped'").select("rule_id"), "SELECT unnest(['frozen/tripwire', 'hermetic/tripwire']) AS rule_id")
 _add("r10_diff_path", lambda spark, d: star.table(spark, d, "supplier").select(verdict.normal_path(F.concat(F.lit("C:\\Work\\"), F.regexp_replace("s_name", "#", "\\\\")), "c:/work", fold=True).alias("path")), "SELECT lower(replace(s_name, '#', '/')) AS path FROM supplier")
-_add("r12_order", lambda spark, d: verdict.ordered(_violations(lambda s: sales_subject(s).must_not_reference(s.namespace("Star.Catalog.ECONOMY")))(spark, d)).select("source", "target").limit(50), edges_sql("reference", "x", "s.namespace = 'Star.Sales.BUILDING' AND t.namespace = 'Star.Catalog.ECONOMY'").replace("'x' AS kind, ", "").replace(", n_sites FROM", " FROM") + " ORDER BY 1, 2 LIMIT 50")
+_add("r12_order", lambda spark, d: _placed(verdict.ordered(_violations(lambda s: sales_subject(s).must_not_reference(s.namespace("Star.Catalog.ECONOMY")))(spark, d)).select("source", "target"), "source"), edges_sql("reference", "x", "s.namespace = 'Star.Sales.BUILDING' AND t.namespace = 'Star.Catalog.ECONOMY'").replace("'x' AS kind, ", "").replace(", sites_text FROM", ", row_number() OVER (PARTITION BY e.source ORDER BY e.target) AS place FROM"))
 _add("r13_totals", lambda spark, d: verdict.totals(_report(spark, d).results), sql("""
 SELECT CAST(8 AS BIGINT) AS checked, CAST(8 - n AS BIGINT) AS passed, n AS failed, CAST(0 AS BIGINT) AS skipped, v AS violations, (SELECT CAST(count(DISTINCT c_nationkey) AS BIGINT) FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_nationkey % 2 = 0) AS warnings, g AS grandfathered, CAST(5 AS BIGINT) AS stale
 FROM (SELECT CAST(count(DISTINCT rule) FILTER (WHERE NOT old) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE NOT old) AS BIGINT) AS v, CAST(count(*) FILTER (WHERE old) AS BIGINT) AS g FROM broken)""", "types", "li", "reference", _BROKEN))
@@ -343,21 +360,35 @@ def _upkeep(what: str) -> Query:
         if what == "add":
             one = found.where("rule_id = 'new'").orderBy("subject").first()["subject"]
             return upkeep.add_entry(found, known, "new", "by hand", subject=one).where("rule_id = 'new'").select("subject", "because")
-        sealed = upkeep.digests(known, sections)
-        forged = known.withColumn("because", F.when(F.col("rule_id") == "sealed", F.lit("forged")).otherwise(F.col("because")))
-        return upkeep.tampered(sealed, forged, sections)
+        text = baselines.render(baselines.sections_of(known, sections))
+        return spark.createDataFrame([("as written", _refused(text)), ("forged", _refused(text.replace('"because": "old"', '"because": "new"')))], "file string, refused boolean")
 
     return run
 
 
+def _refused(text: str) -> bool:
+    """Whether a baseline file with this text is refused."""
+    try:
+        baselines.parse(text)
+    except upkeep.BaselineError:
+        return True
+    return False
+
+
+def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest that the baseline file of a rule carries."""
+    text = baselines.render(baselines.sections_of(*_subject_baseline(spark, sf_dir)))
+    return spark.createDataFrame([("static", json.loads(text)["digest"])], "rule_id string, digest string")
+
+
 _COUNTED = "SELECT rule AS rule_id, CAST(count(*) AS BIGINT) AS entries FROM broken WHERE old GROUP BY rule"
 _add("r14_baseline_init", _upkeep("init"), sql("SELECT rule AS rule_id, CAST(count(*) + CASE WHEN rule = 'buy/economy' THEN 5 ELSE 0 END AS BIGINT) AS entries FROM broken WHERE old OR rule IN ('new', 'frozen/containment') GROUP BY rule", "types", "li", "reference", _BROKEN))
 _add("r15_accept_reductions", _upkeep("accept"), sql(_COUNTED, "types", "li", "reference", _BROKEN))
 _add("r15_refused", _upkeep("refused"), sql("SELECT rule AS rule_id, CAST(count(*) AS BIGINT) AS refused FROM broken WHERE NOT old AND rule IN ('buy/economy', 'sealed') GROUP BY rule", "types", "li", "reference", _BROKEN))
 _add("r16_add_entry", _upkeep("add"), sql("SELECT 'T:' || min(full_name) AS subject, 'by hand' AS because FROM types WHERE project = 'Supply' AND NOT static", "types"))
 _add("r17_unbaselinable", _upkeep("unbaselinable"), "SELECT 'held' AS rule_id")
-_add("r18_digest", lambda spark, d: upkeep.digests(*_subject_baseline(spark, d)), sql(f"SELECT 'static' AS rule_id, sha256('{upkeep.PREAMBLE}' || chr(10) || 'rule static' || chr(10) || string_agg('subject T:' || full_name || chr(10), '' ORDER BY 'T:' || full_name)) AS digest FROM types WHERE project = 'Supply' AND NOT static", "types"))
-_add("r19_tampered", _upkeep("tampered"), "SELECT 'sealed' AS rule_id")
+_add("r18_digest", _sealed, sql(f"SELECT 'static' AS rule_id, sha256('{upkeep.PREAMBLE}' || chr(10) || 'rule static' || chr(10) || string_agg('subject T:' || full_name || chr(10), '' ORDER BY 'T:' || full_name)) AS digest FROM types WHERE project = 'Supply' AND NOT static", "types"))
+_add("r19_tampered", _upkeep("tampered"), "SELECT unnest(['as written', 'forged']) AS file, unnest([FALSE, TRUE]) AS refused")
 
 
 def _subject_baseline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -413,7 +444,7 @@ def _merged(what: str) -> Query:
         declared, linked = star.fragments(spark, sf_dir)
         match what:
             case "types":
-                return merge.first_declared(declared).select("full_name", "project_name", F.size("declaration_sites").cast("long").alias("n_sites"))
+                return merge.first_declared(declared).select("full_name", "project_name", sites("declaratiosites_text"))
             case "notes":
                 return merge.conflations(declared)
             case "edges":
@@ -444,24 +475,24 @@ def _merged(what: str) -> Query:
 _FRAG = """
 frag AS (SELECT DISTINCT l_linenumber % 3 AS o, full_name, name, CASE WHEN name LIKE '%0' AND l_linenumber % 3 > 0 THEN project || 'Copy' || (l_linenumber % 3) ELSE project END AS project FROM (SELECT l_linenumber, cust AS m FROM li UNION ALL SELECT l_linenumber, part FROM li) JOIN types ON m = full_name),
 won AS (SELECT full_name, project, o FROM frag QUALIFY row_number() OVER (PARTITION BY full_name ORDER BY o) = 1)"""
-_add("x01_first_declared", _merged("types"), sql("SELECT full_name, project AS project_name, CAST(1 AS BIGINT) AS n_sites FROM won", "types", "li", _FRAG))
+_add("x01_first_declared", _merged("types"), sql("SELECT full_name, won.project AS project_name, types.file || ':' || k AS sites_text FROM won JOIN types USING (full_name)", "types", "li", _FRAG))
 _add("x02_conflations", _merged("notes"), sql("SELECT DISTINCT f.full_name || ' is declared by ' || w.project || ' and again by ' || f.project AS note FROM frag f JOIN won w ON f.full_name = w.full_name AND f.project <> w.project", "types", "li", _FRAG))
 _add("x03_externals", _merged("external"), "SELECT DISTINCT 'Geo.R' || n_regionkey || '.Nation' || n_nationkey AS full_name, 'GeoFirst' AS project_name FROM nation JOIN supplier ON s_nationkey = n_nationkey")
-_add("x05_edges", _merged("edges"), sql("SELECT cust AS source, part AS target, CAST(count(DISTINCT (l_orderkey, l_linenumber)) AS BIGINT) AS n_sites FROM li GROUP BY ALL", "li"))
-_add("x06_member_edges", _merged("members_used"), sql("SELECT supp AS source, id AS member, CAST(count(DISTINCT (l_orderkey, l_linenumber)) AS BIGINT) AS n_sites FROM li JOIN mem ON cust = owner AND o_orderkey = ok GROUP BY ALL", "li", "mem"))
+_add("x05_edges", _merged("edges"), sql("SELECT cust AS source, part AS target, " + sites_sql() + " AS sites_text FROM li GROUP BY ALL", "li"))
+_add("x06_member_edges", _merged("members_used"), sql("SELECT supp AS source, id AS member, " + sites_sql() + " AS sites_text FROM li JOIN mem ON cust = owner AND o_orderkey = ok GROUP BY ALL", "li", "mem"))
 _add("x07_members", _merged("members"), sql("SELECT id AS member FROM mem JOIN won ON owner = full_name WHERE o < 2 OR ok % 2 = 0", "types", "li", "mem", _FRAG))
 for _n, _f in (("x08", "construct"), ("x09", "inject"), ("x11", "catch"), ("x12", "throw"), ("x13", "expose")):
     _add(f"{_n}_{_f}_edges", lambda spark, d, f=_f: merge.merged_edges((e := star.edge_family(spark, d, f)).unionByName(e)).select("source", "target", sites()), sql(f"SELECT * FROM {_f}", "li", _f))
-_add("x10_registrations", _merged("registrations"), sql("SELECT CASE p_size % 3 WHEN 0 THEN 'Singleton' WHEN 1 THEN 'Scoped' ELSE 'Transient' END AS lifetime, part AS service, CASE WHEN l_returnflag <> 'N' THEN supp END AS implementation, CAST(count(DISTINCT (l_orderkey, l_linenumber)) AS BIGINT) AS n_sites FROM li WHERE l_linenumber = 1 GROUP BY ALL", "li"))
+_add("x10_registrations", _merged("registrations"), sql("SELECT CASE p_size % 3 WHEN 0 THEN 'Singleton' WHEN 1 THEN 'Scoped' ELSE 'Transient' END AS lifetime, part AS service, CASE WHEN l_returnflag <> 'N' THEN supp END AS implementation, " + sites_sql() + " AS sites_text FROM li WHERE l_linenumber = 1 GROUP BY ALL", "li"))
 _add("x14_projects", _merged("projects"), "SELECT unnest(['Catalog', 'Sales', 'Supply', 'Unused', 'Tools']) AS name, unnest(['Supply', 'Catalog,Supply,Tools,Unused', '', '', '']) AS refs")
-_add("x15_ordered_registrations", lambda spark, d: merge.ordered_registrations(star.registrations(spark, d)).select("lifetime", "service", "implementation").limit(40), sql("SELECT life AS lifetime, part AS service, impl AS implementation FROM reg ORDER BY CASE life WHEN 'Singleton' THEN 0 WHEN 'Scoped' THEN 1 ELSE 2 END, part, coalesce(impl, '') LIMIT 40", "li", _REG))
+_add("x15_ordered_registrations", lambda spark, d: _placed(merge.ordered_registrations(star.registrations(spark, d)).select("lifetime", "service", "implementation"), "lifetime"), sql("SELECT life AS lifetime, part AS service, impl AS implementation, row_number() OVER (PARTITION BY life ORDER BY part, coalesce(impl, '')) AS place FROM reg", "li", _REG))
 _add("i07_retain", _merged("retain"), sql("SELECT project AS project_name, CAST(count(*) AS BIGINT) AS n FROM frag WHERE project <> 'CatalogCopy1' GROUP BY 1", "types", "li", _FRAG))
 
 
 # incremental
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Customers as projects that reference customer k/2, and files with the sums of their orders."""
-    own = star.table(spark, sf_dir, "customer").where("c_custkey <= 200")
+    own = star.table(spark, sf_dir, "customer")
     projects = own.select(F.col("c_custkey").cast("string").alias("name"), F.when(F.col("c_custkey") > 1, F.array(F.floor(F.col("c_custkey") / 2).cast("string"))).otherwise(F.array().cast("array<string>")).alias("project_references"))
     files = own.select(F.col("c_custkey").cast("string").alias("project"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("path"), F.sha2("c_name", 256).alias("sha"))
     return projects, files
@@ -483,8 +514,8 @@ def _incremental(what: str) -> Query:
     return run
 
 
-_DEPENDENTS = "WITH RECURSIVE r AS (SELECT CAST(7 AS BIGINT) AS k UNION SELECT c_custkey FROM customer JOIN r ON c_custkey // 2 = r.k WHERE c_custkey <= 200) SELECT CAST(k AS VARCHAR) AS project FROM r"
-_add("i01_content_keys", _incremental("keys"), "SELECT CAST(c_custkey AS VARCHAR) AS project, sha256('a' || chr(0) || sha256(c_name) || chr(10) || 'b' || chr(0) || sha256(c_name)) AS key FROM customer WHERE c_custkey <= 200")
+_DEPENDENTS = "WITH RECURSIVE r AS (SELECT CAST(7 AS BIGINT) AS k UNION SELECT c_custkey FROM customer JOIN r ON c_custkey // 2 = r.k) SELECT CAST(k AS VARCHAR) AS project FROM r"
+_add("i01_content_keys", _incremental("keys"), "SELECT CAST(c_custkey AS VARCHAR) AS project, sha256('a' || chr(0) || sha256(c_name) || chr(10) || 'b' || chr(0) || sha256(c_name)) AS key FROM customer")
 _add("i02_merkle", _incremental("merkle"), _DEPENDENTS)
 _add("i03_dirty", _incremental("dirty"), "SELECT '7' AS project")
 _add("i04_dependents", _incremental("dependents"), _DEPENDENTS)
@@ -500,7 +531,7 @@ _add("e10_decompose", lambda spark, d: _signatures(spark, d).select("p_partkey",
 _add("e02_shape_mask", lambda spark, d: extract.normal_shape(star.types(spark, d).withColumn("is_static", F.col("is_static") | F.col("name").endswith("2"))).where("is_sealed or is_abstract").select("full_name"), sql("SELECT full_name FROM types WHERE NOT (static OR name LIKE '%2') AND (sealed OR abstract)", "types"))
 _add("e04_inventory", lambda spark, d: extract.inventoried(star.members(spark, d).withColumns({"is_implicit": F.col("is_static"), "method_kind": F.when(F.col("is_abstract"), "Constructor").otherwise("Ordinary"), "is_indexer": F.lit(False), "explicit_interface": F.col("name").endswith("7P2")})).select(F.col("symbol_id").alias("member")), sql("SELECT id AS member FROM mem WHERE ok % 2 <> 0 AND NOT (kind = 'Method' AND ok % 5 = 0) AND name NOT LIKE '%7P2'", "mem"))
 _add("e08_injection", lambda spark, d: extract.injection_edges(star.lines(spark, d, "part", "supplier").where("l_linestatus = 'O'").select(F.col("part").alias("declaring_type"), F.concat(F.lit("ILazy<"), "supplier", F.lit(">")).alias("parameter_type"), F.col("site.file").alias("file"), F.col("site.line").alias("line"))).where("target <> 'ILazy<1>'").select("source", "target", sites()), sql("SELECT * FROM inject", "li", "inject"))
-_add("e09_exposure", lambda spark, d: extract.exposure_edges(star.members(spark, d).withColumn("return_type", F.regexp_replace("return_type", "-", "_")).withColumn("member_type", F.regexp_replace("member_type", "-", "_")), star.types(spark, d)).where("target like 'Status.%'").select("source", "target", sites()), sql("SELECT owner AS source, 'Status.' || replace(replace(prio, '-', '_'), ' ', '') AS target, CAST(count(DISTINCT ok) AS BIGINT) AS n_sites FROM mem JOIN types ON owner = full_name WHERE mem.access = 'Public' AND types.access = 'Public' GROUP BY ALL", "mem", "types"))
+_add("e09_exposure", lambda spark, d: extract.exposure_edges(star.members(spark, d).withColumn("return_type", F.regexp_replace("return_type", "-", "_")).withColumn("member_type", F.regexp_replace("member_type", "-", "_")), star.types(spark, d)).where("target like 'Status.%'").select("source", "target", sites()), sql("SELECT owner AS source, 'Status.' || replace(replace(prio, '-', '_'), ' ', '') AS target, " + sites_sql("mem.file", "ok") + " AS sites_text FROM mem JOIN types ON owner = full_name WHERE mem.access = 'Public' AND types.access = 'Public' GROUP BY ALL", "mem", "types"))
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -511,18 +542,18 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.table(spark, sf_dir, "part").select(life.alias("method"), args.alias("type_args"), (col("p_partkey") % 3).cast("int").alias("n_params"), F.array().cast("array<string>").alias("typeof_args"), F.lit(0).alias("n_type_params"), F.when(col("p_partkey") % 5 == 0, "?").when(col("p_partkey") % 5 == 1, "Singleton").alias("lifetime_arg"), F.lit("f").alias("file"), col("p_partkey").cast("int").alias("line"))
 
 
-_add("e11_registrations", lambda spark, d: extract.recognised_registrations(_calls(spark, d)).select("lifetime", "service", "implementation", sites()), """
+_add("e11_registrations", lambda spark, d: extract.recognised_registrations(_calls(spark, d)).select("lifetime", "service", "implementation", F.size("sites").cast("long").alias("n_sites")), """
 SELECT life AS lifetime, service, impl AS implementation, CAST(count(*) AS BIGINT) AS n_sites FROM (
   SELECT CASE k % 7 WHEN 0 THEN 'Singleton' WHEN 1 THEN 'Scoped' WHEN 2 THEN 'Transient' WHEN 3 THEN 'Singleton' WHEN 4 THEN CASE k % 5 WHEN 1 THEN 'Singleton' ELSE 'Scoped' END ELSE 'Transient' END AS life,
     CASE WHEN k % 7 = 3 THEN 'Microsoft.Extensions.Hosting.IHostedService' ELSE t END AS service,
     CASE WHEN k % 7 = 3 THEN t WHEN k % 2 = 1 THEN 'Impl' WHEN k % 7 < 3 AND k % 3 <> 0 THEN NULL ELSE t END AS impl
   FROM (SELECT p_partkey AS k, 'T' || p_size AS t FROM part) WHERE k % 7 < 6 AND NOT (k % 7 = 3 AND k % 2 = 1) AND NOT (k % 7 = 4 AND k % 5 = 0)) GROUP BY ALL""")
-_add("e03_hierarchy", lambda spark, d: extract.derived_hierarchy(_chain(spark, d)).select("full_name", "base", F.col("depth").cast("long").alias("depth")), "WITH RECURSIVE r AS (SELECT c_custkey AS k, c_custkey // 2 AS b, CAST(1 AS BIGINT) AS d FROM customer WHERE c_custkey BETWEEN 2 AND 200 UNION ALL SELECT k, b // 2, d + 1 FROM r WHERE b > 1) SELECT 'T' || k AS full_name, 'T' || b AS base, d AS depth FROM r")
+_add("e03_hierarchy", lambda spark, d: extract.derived_hierarchy(_chain(spark, d)).select("full_name", "base", F.col("depth").cast("long").alias("depth")), "WITH RECURSIVE r AS (SELECT c_custkey AS k, c_custkey // 2 AS b, CAST(1 AS BIGINT) AS d FROM customer WHERE c_custkey >= 2 UNION ALL SELECT k, b // 2, d + 1 FROM r WHERE b > 1) SELECT 'T' || k AS full_name, 'T' || b AS base, d AS depth FROM r")
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda c: F.concat(F.lit("T"), c.cast("string"))
-    return star.table(spark, sf_dir, "customer").where("c_custkey between 2 and 200").select(t(F.col("c_custkey")).alias("full_name"), t(F.floor(F.col("c_custkey") / 2)).alias("base"))
+    return star.table(spark, sf_dir, "customer").where("c_custkey >= 2").select(t(F.col("c_custkey")).alias("full_name"), t(F.floor(F.col("c_custkey") / 2)).alias("base"))
 
 
 # sources and sinks

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import os
 import subprocess
 from pathlib import Path
 
@@ -23,11 +24,17 @@ def load(path: str) -> Model:
 
 
 def changed_since(root: str, base: str, seconds: int = 30) -> list[str]:
-    """Paths that git finds changed since base or untracked, each once, in order."""
-    def git(*args: str) -> list[str]:
-        run = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=seconds, check=False)
+    """Absolute paths of files in root's repository that git finds changed or gone since base, or
+    untracked, each once, in order; root may be any folder of it."""
+    def git(at: str, *args: str) -> str:
+        run = subprocess.run(["git", "-C", at, *args], capture_output=True, timeout=seconds, check=False)
         if run.returncode:
-            raise ValueError(f"git {args[0]} failed: {run.stderr.strip()}")
-        return [x for x in run.stdout.split("\0") if x]
-
-    return sorted({*git("diff", "--name-only", "-z", base), *git("ls-files", "--others", "--exclude-standard", "-z")})
+            raise ValueError(f"git {args[0]} failed: {os.fsdecode(run.stderr).strip()}")
+        return os.fsdecode(run.stdout)
+
+    # what git names is relative to the top, wherever root is
+    top = git(root, "rev-parse", "--show-toplevel").rstrip("\n")
+    # a base that looks like an option is none
+    commit = git(top, "rev-parse", "--verify", "--quiet", "--end-of-options", f"{base}^{{commit}}").strip()
+    named = git(top, "diff", "--name-only", "--no-renames", "-z", commit, "--") + git(top, "ls-files", "--others", "--exclude-standard", "--full-name", "-z")
+    return sorted({os.path.join(top, x) for x in named.split("\0") if x})

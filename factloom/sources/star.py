@@ -168,7 +168,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _member_columns() -> dict[str, Column]:
     col = F.col
     name = F.concat(F.lit("Order"), col("o_orderkey").cast("string"), F.when(F.substring("o_orderpriority", 1, 1) == "1", "Async").otherwise(F.concat(F.lit("P"), F.substring("o_orderpriority", 1, 1))))
-    kind = F.when(col("o_orderstatus") == "F", "Method").when(col("o_orderstatus") == "O", "Property").otherwise("Field")
+    kind = F.when(col("o_orderstatus") == "F", "Method").when(col("o_orderstatus") == "O", F.when(col("o_orderkey") % 8 == 0, "Event").otherwise("Property")).otherwise("Field")
     return {"name": name, "kind": kind, "symbol": F.concat(F.substring(kind, 1, 1), F.lit(":"), col("customer"), F.lit("."), name)}
 
 

@@ -22,6 +22,19 @@ def read_facts(spark: SparkSession, path: str) -> Facts:
     return Facts(**{n: check_schema(spark.read.parquet(f"{path}/{n}"), s) for n, s in TABLES.items()})
 
 
+def write_diagnostics(diagnostics: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """(message): what the extraction of the facts under path complained of."""
+    diagnostics.select(F.col("message").cast("string").alias("message")).write.mode(mode).parquet(f"{path}/diagnostics")
+
+
+def read_diagnostics(spark: SparkSession, path: str) -> list[str]:
+    """The messages of write_diagnostics(), each once, in order; none where it wasn't called."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/diagnostics")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return [r[0] for r in spark.read.parquet(f"{path}/diagnostics").where("message is not null").distinct().orderBy("message").collect()]
+
+
 def read_json_facts(spark: SparkSession, path: str) -> Facts:
     """The same tables as lines of JSON, with the schemas given rather than guessed."""
     return Facts(**{n: spark.read.schema(T.StructType.fromDDL(s)).json(f"{path}/{n}") for n, s in TABLES.items()})

@@ -1,15 +1,19 @@
 """Merge, survey, incremental work, streams, sources and the command line."""
 
 import json
+import os
+import subprocess
 from pathlib import Path
 
+import pytest
 from fixtures import graph, layered, type_row
 from pyspark.sql import functions as F
 
 from factloom.cli import main
 from factloom.operators import extract, incremental, merge, survey
 from factloom.schema import TYPES
-from factloom.sources.tables import read_facts, snapshot_valid, source_files, write_facts
+from factloom.sources import specs
+from factloom.sources.tables import read_facts, snapshot_valid, source_files, write_diagnostics, write_facts
 from factloom.streaming.fragments import keep_latest
 
 
@@ -81,6 +85,35 @@ def test_hierarchy_with_a_cycle(spark):
     assert {tuple(r) for r in extract.derived_hierarchy(direct).collect()} == {("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("a", "c", 2), ("b", "a", 2), ("c", "b", 2)}
 
 
+def test_hierarchy_of_any_length_with_type_arguments(spark):
+    chain = [(f"T{i}", f"T{i + 1}") for i in range(100)]
+    got = extract.derived_hierarchy(spark.createDataFrame(chain, "full_name string, base string")).where("full_name = 'T0'")
+    assert sorted(r["depth"] for r in got.collect()) == list(range(1, 101))
+    direct = [("Ints", "Box<Int>"), ("Box<T>", "List<T>"), ("List<E>", "IMap<E, IList<E>>"), ("Pair<T, U>", "IMap<U, T>"), ("Own", "Pair<A.T, List<U>>")]
+    got = {(r["full_name"], r["base"]) for r in extract.derived_hierarchy(spark.createDataFrame(direct, "full_name string, base string")).collect()}
+    assert {("Ints", "List<Int>"), ("Ints", "IMap<Int, IList<Int>>"), ("Box<T>", "IMap<T, IList<T>>"), ("Own", "IMap<List<U>, A.T>")} <= got
+
+
+def test_changed_files_of_a_folder_below_the_top(tmp_path):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    git("init", "-q")
+    sub = tmp_path / "sub"
+    sub.mkdir()
+    for n in ("top.cs", "sub/a.cs", "sub/gone.cs", "sub/same.cs"):
+        (tmp_path / n).write_text(n)
+    git("add", "-A")
+    git("commit", "-qm", "x")
+    for n in ("top.cs", "sub/a.cs", "sub/neu é.cs"):
+        (tmp_path / n).write_text("other")
+    (sub / "gone.cs").unlink()
+    top = os.path.realpath(tmp_path)
+    assert specs.changed_since(str(sub), "HEAD") == [f"{top}/{n}" for n in ("sub/a.cs", "sub/gone.cs", "sub/neu é.cs", "top.cs")]
+    for base in ("nope", "--output=x", "-p"):
+        with pytest.raises(ValueError):
+            specs.changed_since(str(sub), base)
+    assert not (tmp_path / "x").exists() and not (sub / "x").exists()
+
+
 def test_stream_keeps_the_latest(spark, tmp_path):
     schema = "project string, generation int, version int, v int"
     put = lambda n, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{n}"))
@@ -133,5 +166,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("explain", *spec, "core/web") == 0 and run("explain", *spec, "nope") == 2
     assert run("render", *spec, "--into", str(tmp_path / "A.md")) == 0 and "core/web" in (tmp_path / "A.md").read_text()
     assert run("graph", *facts, "--json") == 0
+    capsys.readouterr()
+    assert run("context", *facts, *spec, "App/Web/Page.x") == 0 and "Frozen: web" in capsys.readouterr().out
+    assert run("context", *facts, *spec, "Else/x") == 0 and "covers 'Else/x'" in capsys.readouterr().out
+    write_diagnostics(spark.createDataFrame([("error CS1: x",), ("warning NU1901: y",)], "message string"), str(tmp_path / "facts"))
+    assert run("check", *facts, *spec) == 2 and run("check", *facts, *spec, "--allow-workspace-diagnostics") == 0
+    write_diagnostics(spark.createDataFrame([("warning NU1901: y",)], "message string"), str(tmp_path / "facts"))
+    assert run("check", *facts, *spec) == 0
     (tmp_path / "arch/baselines/core/web.json").write_text("{}")
     assert run("check", *facts, *spec) == 2

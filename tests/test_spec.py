@@ -100,4 +100,9 @@ def test_managed_block_and_truncation():
     assert render.splice(made, "other").count("other") == 1 and "body" not in render.splice(made, "other") and made.startswith("intro\n\n")
     with pytest.raises(ValueError):
         render.splice(render.BEGIN, "x")
+    windows = "intro  \r\nmore\r\n\r\n"
+    added = render.splice(windows, "a\nb")
+    assert added == f"intro  \r\nmore\r\n\r\n{render.BEGIN}\r\na\r\nb\r\n{render.END}\r\n"
+    assert render.splice(added + "tail \r\n", "c") == f"intro  \r\nmore\r\n\r\n{render.BEGIN}\r\nc\r\n{render.END}\r\ntail \r\n"
+    assert render.splice(" \n", "x") == f"{render.BEGIN}\nx\n{render.END}\n"
     assert render.truncated("x" * 30_000).startswith("x") and len(render.truncated("x" * 30_000)) <= 25_000 and len(render.truncated("x" * 30_000, 100)) <= 250 and render.truncated("a") == "a"
