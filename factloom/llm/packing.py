@@ -31,12 +31,13 @@ WINDOW = "window_id long, n_tokens int, doc_ids array<long>, doc_starts array<lo
 NULL_ID = -(1 << 63)
 
 
-def tokenised(documents: DataFrame, path: str, text_col: str, id_col: str) -> tuple[DataFrame, int]:
-    """(doc_id, place, tokens, n): the tokens of each document that has any, 32 bits each, with the
-    token that ends a document behind them; and that token, the first number free. place, a
-    hash of the tokens, orders documents of one doc_id."""
+def tokenised(documents: DataFrame, path: str, text_col: str, id_col: str) -> tuple[DataFrame, np.dtype]:
+    """(doc_id, place, tokens, n): the tokens of each document that has any, with the token that
+    ends a document behind them, the first number free; and their kind: 16 bits each if all
+    numbers fit, else 32. place, a hash of the tokens, orders documents of one doc_id."""
     shared = broadcast_vocabulary(documents.sparkSession, path)
     end = len(shared.value[0])
+    kind = np.dtype("<u2" if end < 1 << 16 else "<i4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(*shared.value))
@@ -46,16 +47,16 @@ def tokenised(documents: DataFrame, path: str, text_col: str, id_col: str) -> tu
                 size = np.diff(off)
                 has = size > 0
                 size = size + has
-                out = np.full(int(size.sum()), end, np.int32)
+                out = np.full(int(size.sum()), end, kind)
                 row = np.repeat(np.arange(n), np.diff(off))
                 out[np.arange(len(tokens)) + np.cumsum(has)[row] - 1] = tokens
-                cut = np.concatenate([[0], np.cumsum(size[has])]) * 4
+                cut = np.concatenate([[0], np.cumsum(size[has])]) * kind.itemsize
                 own = pa.Array.from_buffers(pa.binary(), int(has.sum()), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).filter(pa.array(has)), own, pa.array(size[has])], ["doc_id", "tokens", "n"])
 
     docs = documents.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     encoded = docs.mapInArrow(run, "doc_id long, tokens binary, n long")
-    return encoded.select("doc_id", F.shiftrightunsigned(F.xxhash64("tokens"), 1).alias("place"), "tokens", "n"), end
+    return encoded.select("doc_id", F.shiftrightunsigned(F.xxhash64("tokens"), 1).alias("place"), "tokens", "n"), kind
 
 
 def range_number(ids: np.ndarray, places: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -71,14 +72,14 @@ def range_number(ids: np.ndarray, places: np.ndarray, cuts: np.ndarray) -> np.nd
     return (before[at] + np.where(n > 0, 1 + np.minimum((places / 2.0**63 * n).astype(np.int64), n - 1), 0)).astype(np.int32)
 
 
-def _cutter(offsets: np.ndarray, length: int, boundary: bool):
+def _cutter(offsets: np.ndarray, length: int, kind: np.dtype, boundary: bool):
     """(pid, doc_id, tokens), sorted, to the windows inside a range, or else to the boundary records."""
     total = int(offsets[-1])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, here = -1, 0
         # what is left of the window begun: tokens, and of its pieces doc_id (null), start in the document, length
-        rest, ids, null, starts, sizes = np.zeros(0, np.int32), *(np.zeros(0, k) for k in (np.int64, bool, np.int64, np.int64))
+        rest, ids, null, starts, sizes = np.zeros(0, kind), *(np.zeros(0, k) for k in (np.int64, bool, np.int64, np.int64))
 
         def emit(final: bool) -> pa.RecordBatch | None:
             """The windows that end among the tokens held; at the end of a range all of them."""
@@ -106,7 +107,7 @@ def _cutter(offsets: np.ndarray, length: int, boundary: bool):
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array(windows[chosen]), pa.array(width[chosen].astype(np.int32)), lists(ids[doc], pa.int64(), null[doc]), lists(begin, pa.int64()), lists(np.diff(points).astype(np.int32), pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width[chosen])]).astype(np.int32)), pa.array(rest[: last - first][inside])), pa.array((bounds[:-1][chosen] % length).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width[chosen])]).astype(np.int32)), pa.array(rest[: last - first][inside].astype(np.int32))), pa.array((bounds[:-1][chosen] % length).astype(np.int32)),
                 ],
                 ["window_id", "n_tokens", "doc_ids", "doc_starts", "lengths", "tokens", "place"],
             )
@@ -130,10 +131,10 @@ def _cutter(offsets: np.ndarray, length: int, boundary: bool):
                     here = int(offsets[pid])
                 own, docs = batch.column(2).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)
                 off = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1]
-                flat = np.frombuffer(own.buffers()[2], np.uint8)[off[0] : off[-1]].view(np.int32)
+                flat = np.frombuffer(own.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind)
                 rest = np.concatenate([rest, flat])
                 ids, null = np.concatenate([ids, docs.fill_null(0).to_numpy()]), np.concatenate([null, docs.is_null().to_numpy(zero_copy_only=False)])
-                starts, sizes = np.concatenate([starts, np.zeros(len(own), np.int64)]), np.concatenate([sizes, np.diff(off) // 4])
+                starts, sizes = np.concatenate([starts, np.zeros(len(own), np.int64)]), np.concatenate([sizes, np.diff(off) // kind.itemsize])
                 here += len(flat)
                 if (out := emit(False)) is not None and out.num_rows:
                     yield out
@@ -156,7 +157,8 @@ def pack(documents: DataFrame, length: int = LENGTH, path: str = VOCABULARY, tex
     """
     spark = documents.sparkSession
     small_batches(spark)
-    docs = written(tokenised(documents, path, text_col, id_col)[0], "tokens")
+    encoded, kind = tokenised(documents, path, text_col, id_col)
+    docs = written(encoded, "tokens")
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = F.coalesce("doc_id", F.lit(NULL_ID))
     quantiles = [i / ranges for i in range(1, ranges)]
@@ -173,9 +175,9 @@ def pack(documents: DataFrame, length: int = LENGTH, path: str = VOCABULARY, tex
         totals[pid + 1] = n
     moved = ranged.select("pid", "doc_id", "place", "tokens").repartition("pid").sortWithinPartitions("pid", "doc_id", "place").select("pid", "doc_id", "tokens")
     offsets, record = np.cumsum(totals), f"{WINDOW}, place int"
-    inner = moved.mapInArrow(_cutter(offsets, length, False), record).drop("place")
+    inner = moved.mapInArrow(_cutter(offsets, length, kind, False), record).drop("place")
     # the same exchange feeds both; at most two records for each range are left to group
     lists = ("doc_ids", "doc_starts", "lengths", "tokens")
     ordered = F.array_sort(F.collect_list(F.struct("place", "n_tokens", *lists)))
-    edge = moved.mapInArrow(_cutter(offsets, length, True), record).groupBy("window_id").agg(F.sum("n_tokens").cast("int").alias("n_tokens"), ordered.alias("r"))
+    edge = moved.mapInArrow(_cutter(offsets, length, kind, True), record).groupBy("window_id").agg(F.sum("n_tokens").cast("int").alias("n_tokens"), ordered.alias("r"))
     return inner.unionByName(edge.select("window_id", "n_tokens", *[F.flatten(f"r.{c}").alias(c) for c in lists]))

@@ -22,7 +22,7 @@ def plain(spark, rows, length):
     """All tokens as (doc_id, number in the document, token), in windows. Documents of one doc_id
     are put in order by Spark's own hash."""
     own = [(i, KNOWN.encode_ordinary(t) + [END]) for i, t in rows if t]
-    tokens = spark.createDataFrame([(k, bytearray(np.array(t, np.int32).tobytes())) for k, (_, t) in enumerate(own)], "k int, t binary")
+    tokens = spark.createDataFrame([(k, bytearray(np.array(t, np.uint16).tobytes())) for k, (_, t) in enumerate(own)], "k int, t binary")
     place = {r[0]: r[1] for r in tokens.selectExpr("k", "shiftrightunsigned(xxhash64(t), 1)").collect()}
     stream = []
     for k in sorted(range(len(own)), key=lambda k: (own[k][0] is not None, own[k][0] or 0, place[k])):
