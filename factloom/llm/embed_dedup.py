@@ -6,8 +6,9 @@ y in cell j at a distance of at most r, the triangle inequality gives
 d(x, pj) <= d(x, pi) + 2r and d(x, pj) <= (radius of cell j) + r; and since y lies on the other
 side of the plane halfway between pi and pj, x is at most r away from that plane. So x goes to
 its own cell and, as a guest, to the cells j > i that meet all three; every pair then meets in
-exactly one cell, and the cells join on their own. A large cell is split in the same way inside
-its task. Candidates are found in single precision with a margin and decided in double.
+exactly one cell, and the cells join on their own. A cell of more rows than a task should hold is
+joined in squares of blocks, and what a task has is split once more in the way of the cells.
+Candidates are found in single precision with a margin and decided in double.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from .vectors import dimension_of, lists_of, matrix, sampled, unit, usable
 
 #: Cosine from which two vectors are near-duplicates.
 COSINE = 0.95
-#: Vectors that a cell holds on average, up to MOST_PIVOTS cells.
+#: Vectors that a cell holds on average, while the pivots, which every task gets, have no more
+#: than PIVOT_BYTES; beyond, cells grow.
 CELL = 4096
-MOST_PIVOTS = 4096
+PIVOT_BYTES = 32 << 20
+#: Rows of a block; larger cells are joined block by block.
+ROWS = 1 << 16
 #: Rows compared at once.
 BLOCK = 1024
 MARGIN = 1e-4
@@ -42,7 +46,7 @@ def _reaches(x: np.ndarray, pivots: np.ndarray, own: np.ndarray, radius: float,
     cosine = x @ pivots.T
     d = np.sqrt(np.maximum(2 - 2 * cosine, 0))
     mine = np.take_along_axis(d, own[:, None], 1)
-    between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-12))[own]
+    between = np.sqrt(np.maximum(2 - 2 * pivots[own] @ pivots.T, 1e-12))
     plane = (np.take_along_axis(cosine, own[:, None], 1) - cosine) / between
     return (d <= mine + 2 * radius + MARGIN) & (d <= extent + radius + MARGIN) & ((plane <= radius + MARGIN) | (between < NEAR))
 
@@ -69,8 +73,9 @@ def _block_pairs(a: np.ndarray, b: np.ndarray, cosine: float, same: bool) -> Ite
                 yield x + i, y + j
 
 
-def join_cell(own: np.ndarray, guests: np.ndarray, cosine: float, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of rows of own with each other and with guests (whose numbers go on after own's)."""
+def join_cell(own: np.ndarray, guests: np.ndarray, cosine: float, depth: int = 0, inner: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of rows of own with each other, if inner, and with guests (whose numbers go
+    on after own's)."""
     n, all_ = len(own), np.concatenate([own, guests])
     found: list[tuple[np.ndarray, np.ndarray]] = []
     if n > 4 * BLOCK and depth < 8:
@@ -85,13 +90,14 @@ def join_cell(own: np.ndarray, guests: np.ndarray, cosine: float, depth: int = 0
         if members @ reach.sum(0) < 0.7 * n * len(all_):
             for j in range(len(pivots)):
                 mine = np.flatnonzero(cell[:n] == j)
-                other = np.flatnonzero(reach[:, j] & np.where(np.arange(len(all_)) < n, cell < j, True))
+                other = np.flatnonzero(reach[:, j] & np.where(np.arange(len(all_)) < n, inner & (cell < j), True))
                 if len(mine):
                     where = np.concatenate([mine, other])
-                    x, y = join_cell(own[mine], all_[other], cosine, depth + 1)
+                    x, y = join_cell(own[mine], all_[other], cosine, depth + 1, inner)
                     found.append((where[x], where[y]))
             return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
-    found += _block_pairs(own, own, cosine, True)
+    if inner:
+        found += _block_pairs(own, own, cosine, True)
     found += [(x, y + n) for x, y in _block_pairs(own, guests, cosine, False)]
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
 
@@ -99,10 +105,12 @@ def join_cell(own: np.ndarray, guests: np.ndarray, cosine: float, depth: int = 0
 def _assigner(pivots: np.ndarray, radius: float, extent: np.ndarray | None):
     """Vectors to (cell, guest, id, v); without extents, only to their own cell's distance."""
 
+    step = max(16, min(BLOCK, (1 << 20) // max(1, len(pivots))))
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                ids, v = batch.column(0).slice(at, BLOCK), matrix(batch.column(1).slice(at, BLOCK))
+            for at in range(0, batch.num_rows, step):
+                ids, v = batch.column(0).slice(at, step), matrix(batch.column(1).slice(at, step))
                 x = unit(v)
                 own, d = _nearest(x, pivots)
                 if extent is None:
@@ -116,15 +124,33 @@ def _assigner(pivots: np.ndarray, radius: float, extent: np.ndarray | None):
     return assign
 
 
+def _squared(placed: DataFrame, most: int) -> DataFrame:
+    """(cell, guest, id, v) to (cell, i, j, guest, id, v): a cell of more than ROWS rows becomes a
+    square of blocks, by a hash of the id. Cell (i, j) joins the members of block i with all rows of
+    block j: a member goes to its row of the square, and as a guest to what lies above it in its
+    column; a guest to the whole of its column. Two blocks of members so meet once. No cell has
+    more than most rows."""
+    sizes = placed.groupBy("cell").count().where(F.col("count") > ROWS)
+    large = {r["cell"]: -(-r["count"] // ROWS) for r in sizes.collect()} if most > ROWS else {}  # a row a cell at most
+    zero = F.lit(0)
+    if not large:
+        return placed.select("cell", zero.alias("i"), zero.alias("j"), "guest", "id", "v")
+    blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("cell")], F.lit(1))
+    own = placed.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    rows = own.where("guest = 0").select("cell", F.col("b").alias("i"), F.col("k").alias("j"), "guest", "id", "v")
+    columns = own.where("guest = 1 or k < b").select("cell", F.col("k").alias("i"), F.col("b").alias("j"), F.lit(1).alias("guest"), "id", "v")
+    return rows.unionByName(columns)
+
+
 def _joiner(cosine: float):
-    """Rows sorted by cell, members first, to pairs of ids."""
+    """Rows sorted by cell and square, members first, to pairs of ids."""
 
-    def pairs(cell: list[tuple]) -> pa.RecordBatch:
+    def pairs(cell: list[tuple], inner: bool) -> pa.RecordBatch:
         guest, ids, v = (np.concatenate(x) for x in zip(*cell))
         x = unit(v)
         single = x.astype(np.float32)
         n = int((guest == 0).sum())
-        a, b = join_cell(single[:n], single[n:], cosine)
+        a, b = join_cell(single[:n], single[n:], cosine, 0, inner)
         keep = np.concatenate([np.zeros(0, bool), *[(x[a[i : i + 65536]] * x[b[i : i + 65536]]).sum(1) >= cosine for i in range(0, len(a), 65536)]])
         a, b = ids[a[keep]], ids[b[keep]]
         low, high = np.minimum(a, b), np.maximum(a, b)
@@ -134,17 +160,18 @@ def _joiner(cosine: float):
         held: list[tuple] = []
         current = None
         for batch in batches:
-            cells = batch.column(0).to_numpy()
-            cut = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else []
+            cells = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cut = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(1))) if len(cells) else []
             for lo, hi in zip(cut, [*cut[1:], len(cells)]):
-                if current is not None and cells[lo] != current:
-                    yield pairs(held)
+                here = tuple(cells[lo])
+                if current is not None and here != current:
+                    yield pairs(held, current[1] == current[2])
                     held = []
-                current = cells[lo]
+                current = here
                 part = batch.slice(lo, hi - lo)
-                held.append((part.column(1).to_numpy().copy(), part.column(2).to_numpy().copy(), matrix(part.column(3)).copy()))
+                held.append((part.column(3).to_numpy().copy(), part.column(4).to_numpy().copy(), matrix(part.column(5)).copy()))
         if held:
-            yield pairs(held)
+            yield pairs(held, current[1] == current[2])
 
     return join
 
@@ -161,8 +188,8 @@ def range_join(vectors: DataFrame, cosine: float = COSINE, vector_col: str = "em
     if not dimension:
         return spark.createDataFrame([], "vec_a long, vec_b long")
     own = usable(vectors, vector_col, id_col, dimension)
-    count = min(MOST_PIVOTS, -(-own.count() // CELL))
-    pivots = sampled(own, count)
+    count = own.count()
+    pivots = sampled(own, min(max(1, PIVOT_BYTES // (8 * dimension)), -(-count // CELL)))
     if not len(pivots):
         return spark.createDataFrame([], "vec_a long, vec_b long")
     radius = float(np.sqrt(2 - 2 * cosine))
@@ -170,10 +197,16 @@ def range_join(vectors: DataFrame, cosine: float = COSINE, vector_col: str = "em
     for cell, d in own.mapInArrow(_assigner(pivots, radius, None), "cell int, d double").groupBy("cell").agg(F.max("d")).collect():
         extent[cell] = d
     placed = own.mapInArrow(_assigner(pivots, radius, extent), "cell int, guest int, id long, v array<float>")
-    return placed.repartition("cell").sortWithinPartitions("cell", "guest").mapInArrow(_joiner(cosine), "vec_a long, vec_b long").distinct()
+    squares = _squared(placed, count)
+    return squares.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "guest").mapInArrow(_joiner(cosine), "vec_a long, vec_b long").distinct()
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """(vec_id, kept_vec_id) for every vector with a lower id among its near-duplicates: the lowest of them."""
+    """(vec_id, kept_vec_id) for every vector with a lower id among its near-duplicates: the lowest of them.
+
+    Pairs are those of range_join(), which says which vectors have none: these don't occur, nor
+    does a vector without a lower one. Repeated rows of one id count as one; an empty table gives
+    an empty result. Other columns are left aside, whatever their names.
+    """
     pairs = written(range_join(vectors, cosine, vector_col, id_col), "pairs")
     return pairs.groupBy(F.col("vec_b").alias("vec_id")).agg(F.min("vec_a").alias("kept_vec_id"))

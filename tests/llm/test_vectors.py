@@ -27,9 +27,11 @@ def clustered():
     return np.concatenate([c + 0.15 * rng.normal(size=(25, 16)) for c in centres]).astype(np.float32)
 
 
-@pytest.mark.parametrize("cell", [40, 4096])
-def test_range_join_is_exact(spark, clustered, monkeypatch, cell):
+@pytest.mark.parametrize("cell, pivot_bytes, rows_of_a_block", [(40, 1 << 20, 1 << 16), (4096, 1 << 20, 1 << 16), (40, 1 << 20, 30), (10, 3 * 8 * 16, 25), (4096, 1 << 20, 7)])
+def test_range_join_is_exact(spark, clustered, monkeypatch, cell, pivot_bytes, rows_of_a_block):
     monkeypatch.setattr(embed_dedup, "CELL", cell)
+    monkeypatch.setattr(embed_dedup, "PIVOT_BYTES", pivot_bytes)
+    monkeypatch.setattr(embed_dedup, "ROWS", rows_of_a_block)
     rows = rows_of(clustered)
     got = embed_dedup.range_join(spark.createDataFrame(rows, SCHEMA), 0.97).collect()
     assert len(got) == len(set(got))
