@@ -444,7 +444,7 @@ def _merged(what: str) -> Query:
         declared, linked = star.fragments(spark, sf_dir)
         match what:
             case "types":
-                return merge.first_declared(declared).select("full_name", "project_name", sites("declaratiosites_text"))
+                return merge.first_declared(declared).select("full_name", "project_name", sites("declaration_sites"))
             case "notes":
                 return merge.conflations(declared)
             case "edges":

@@ -22,6 +22,23 @@ def read_facts(spark: SparkSession, path: str) -> Facts:
     return Facts(**{n: check_schema(spark.read.parquet(f"{path}/{n}"), s) for n, s in TABLES.items()})
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system."""
+    system, at = _at(spark, path)
+    return system.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder, if it is there."""
+    system, at = _at(spark, path)
+    system.delete(at, True)
+
+
 def write_diagnostics(diagnostics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """(message): what the extraction of the facts under path complained of."""
     diagnostics.select(F.col("message").cast("string").alias("message")).write.mode(mode).parquet(f"{path}/diagnostics")
@@ -29,8 +46,7 @@ def write_diagnostics(diagnostics: DataFrame, path: str, mode: str = "overwrite"
 
 def read_diagnostics(spark: SparkSession, path: str) -> list[str]:
     """The messages of write_diagnostics(), each once, in order; none where it wasn't called."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/diagnostics")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, f"{path}/diagnostics"):
         return []
     return [r[0] for r in spark.read.parquet(f"{path}/diagnostics").where("message is not null").distinct().orderBy("message").collect()]
 

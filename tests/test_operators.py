@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom.cli import main
 from factloom.operators import extract, incremental, merge, survey
 from factloom.schema import TYPES
-from factloom.sources import specs
+from factloom.sources import cache, specs
 from factloom.sources.tables import read_facts, snapshot_valid, source_files, write_diagnostics, write_facts
 from factloom.streaming.fragments import keep_latest
 
@@ -73,6 +73,27 @@ def test_dirty_closure(spark):
     assert sorted((r["project"], r["v"]) for r in incremental.refreshed(facts(1), facts(2), again).collect()) == [("a", 2), ("b", 2), ("c", 2), ("d", 1), ("e", 1)]
 
 
+def test_extraction_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    projects = lambda names: spark.createDataFrame([(p, ["c"] if p == "a" else []) for p in names], "name string, project_references array<string>")
+    files = lambda names, **sha: spark.createDataFrame([(p, "x", sha.get(p, "1")) for p in names], "project string, path string, sha string")
+    facts = lambda v: spark.createDataFrame([(p, v) for p in "abcd"], "project string, v int")
+    names = lambda df: sorted(r["project"] for r in df.collect())
+    kept = lambda: sorted((r["project"], r["v"]) for r in cache.fragments_of(spark, path).collect())
+
+    def run(who, v, fingerprint="f1", **sha):
+        found = cache.look_up(spark, path, files(who, **sha), projects(who), fingerprint)
+        again = names(found.again)
+        if found.kind != "hit":
+            cache.store(found, path, facts(v), fingerprint)
+        return found.kind, again
+
+    assert run("abc", 1) == ("miss", ["a", "b", "c"]) and run("abc", 9) == ("hit", [])
+    assert run("abc", 2, c="2") == ("partial", ["a", "c"]) and kept() == [("a", 2), ("b", 1), ("c", 2)]
+    assert run("acd", 3, c="2") == ("partial", ["d"]) and kept() == [("a", 2), ("c", 2), ("d", 3)]
+    assert run("ac", 4, "f2", c="2") == ("miss", ["a", "c"]) and kept() == [("a", 4), ("c", 4)]
+
+
 def test_decomposition(spark):
     cases = {"A.B": {"A.B"}, "List<A>": {"List<1>", "A"}, "Map<A, List<B[]>>": {"Map<2>", "A", "List<1>", "B"}, "A[,]": {"A"}, "T<U<V<W>>>": {"T<1>", "U<1>", "V<1>", "W"}}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
