@@ -1,7 +1,11 @@
-"""The size of the batches of text that Python gets."""
+"""The memory that Python takes: the size of the batches of text that it gets, and what a fit leaves."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch.
@@ -20,3 +24,13 @@ def small_batches(spark: SparkSession) -> None:
     size = int(digits) * units[unit[:1] or "b"]
     if size <= 0 or size > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Gives memory that a fit on the driver has used and freed back to the system; the driver goes
+    on to other work, and the allocators would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

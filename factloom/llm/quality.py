@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import small_batches
+from .batches import give_back, small_batches
 from .columns import col
 from .labels import labelled_sample
 from .text import U64, mix, slices, word_hashes
@@ -114,6 +114,13 @@ def fit_quality(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMI
     A fifth of the sample is held out: the threshold is 0, or lower where 0 would reject more
     than max_loss of the good documents held out. Without labels everything is kept.
     """
+    try:
+        return _fit_quality(documents, labels, limit, max_loss)
+    finally:
+        give_back()
+
+
+def _fit_quality(documents: DataFrame, labels: DataFrame, limit: int, max_loss: float) -> QualityModel:
     got = labelled_sample(documents, labels, "quality", limit).select("y", F.xxhash64("doc_id").alias("h"), _indicators("text").alias("f")).toArrow()
     order = np.argsort(got["h"].to_numpy(), kind="stable")
     y = got["y"].to_numpy()[order].astype(np.int64)
