@@ -287,3 +287,14 @@ def test_url_table(spark):
     model = url_filter.fit_url_table(df)
     assert model.weights.any()
     assert url_filter.fit_url_table(df.limit(0)).bias == -4.0
+
+
+def test_any_number_of_languages(spark):
+    model = toxicity.fit_arrays(np.zeros((0, 2), np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    model.bias, model.default = 0.5, 0.0
+    model.thresholds = {f"l{i}": float(i % 2) for i in range(3000)}
+    rows = [(i, "a b", lang) for i, lang in enumerate(["l0", "l1", "l2", "l2999", "other", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {r[0] for r in rows if r[2] not in ("l1", "l2999")}
+    assert {r["doc_id"] for r in toxicity.classify_toxicity(df, model).where("toxic").collect()} == want
+    assert {r["doc_id"] for r in toxicity.drop_toxic(df, model).collect()} == {1, 3}

@@ -182,3 +182,17 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r["id"]: r["root"] for r in minhash.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: r for x, r in root.items() if x != r}
+
+
+def test_a_crowd_passes_its_pairs_on_in_pieces(monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRS", 1000)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 16, minhash.SIZE).astype(np.uint16)
+    sig = np.where(rng.random((400, minhash.SIZE)) < 0.65, base, rng.integers(0, 1 << 16, (400, minhash.SIZE))).astype(np.uint16)
+    none = np.zeros(400, np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(400, 7)), pa.array(none + 1), pa.array(none), pa.array(none), pa.array(none), pa.array(np.arange(400)), minhash._binary(sig)], ["node", "blocks", "i", "j", "side", "rid", "sig"])
+    got = list(minhash._splitter(0.5)(iter([batch])))
+    assert max(b.num_rows for b in got) < 1000 + 400
+    pairs = [frozenset(p) for b in got for p in zip(b["x"].to_pylist(), b["y"].to_pylist()) if len(set(p)) == 2]
+    near = [frozenset((i, j)) for i in range(400) for j in range(i) if (sig[i] == sig[j]).mean() >= 0.5 - minhash.BELOW]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == set(near) and len(near) > 20_000
