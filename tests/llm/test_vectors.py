@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from factloom.llm import ann, embed_dedup
+from factloom.llm import ann, embed_dedup, registry
 from factloom.llm.vectors import unit
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -128,3 +128,24 @@ def test_ties_go_by_id_whatever_the_order(spark, monkeypatch, part):
     for r in got:
         others = [i for i in range(4) if i != r["vec_id"]]
         assert r["neighbour_id"] == others[r["rank"] - 1]
+
+
+@pytest.mark.parametrize("part", [4096, 3])
+def test_queries_divisible_by_a_number_against_all_rows(spark, monkeypatch, part):
+    monkeypatch.setattr(ann, "LISTS_DIVISOR", 4)
+    monkeypatch.setattr(ann, "PART", part)
+    x = np.random.default_rng(9).normal(size=(1500, 24)).astype(np.float32)
+    df = spark.createDataFrame(rows_of(x, -100), SCHEMA)
+    got = ann.nearest(df, k=10, every=50).collect()
+    assert sorted((r["vec_id"], r["rank"]) for r in got) == [(i, k) for i in range(-100, 1400, 50) for k in range(1, 11)]
+    c = unit(x) @ unit(x).T
+    np.fill_diagonal(c, -2)
+    assert sum(r["neighbour_id"] + 100 in np.argsort(-c[r["vec_id"] + 100])[:10] for r in got) / len(got) >= 0.9
+    assert ann.nearest(df.where("vec_id % 50 <> 0"), every=50).count() == 0
+
+
+def test_op2_asks_for_every_fiftieth_row(spark):
+    folder = "/root/testdata/sf0.001"
+    ids = [r["vec_id"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 50 = 0").collect()]
+    got = registry.op2_ann(spark, folder).collect()
+    assert sorted((r["vec_id"], r["rank"]) for r in got) == [(i, k) for i in sorted(ids) for k in range(1, 11)]
