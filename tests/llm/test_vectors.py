@@ -149,3 +149,53 @@ def test_op2_asks_for_every_fiftieth_row(spark):
     ids = [r["vec_id"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 50 = 0").collect()]
     got = registry.op2_ann(spark, folder).collect()
     assert sorted((r["vec_id"], r["rank"]) for r in got) == [(i, k) for i in sorted(ids) for k in range(1, 11)]
+
+
+def brute_classes(rows, cosine):
+    """Of rows (id, vector, label) whose vectors are all usable."""
+    links = {r[0]: set() for r in rows}
+    for a, b in brute_pairs(rows, cosine):
+        links[a].add(b)
+        links[b].add(a)
+    out = {}
+    for i in links:
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out[i] = (min(seen), len(links[i]))
+    return out
+
+
+@pytest.mark.parametrize("cell, rows_of_a_block", [(40, 1 << 16), (4096, 1 << 16), (40, 30), (4096, 7)])
+def test_classes_and_links_are_exact(spark, clustered, monkeypatch, cell, rows_of_a_block):
+    monkeypatch.setattr(embed_dedup, "CELL", cell)
+    monkeypatch.setattr(embed_dedup, "ROWS", rows_of_a_block)
+    rows = rows_of(clustered)
+    # copies under other ids, repeated rows, ids that have several vectors, and vectors by themselves
+    rows += rows_of(np.random.default_rng(7).normal(size=(5, 16)), 3000) + rows_of(clustered[:60], 1000) + rows_of(clustered[:20], 2000) + rows[:30] + rows_of(clustered[100:130], 1040) + rows_of(clustered[5:15], 200)
+    got = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = [tuple(r) for r in embed_dedup.classes(got, 0.97).collect()]
+    want = brute_classes(rows, 0.97)
+    assert sorted(got) == sorted((i, *x) for i, x in want.items())
+    assert {x[1] for x in want.values()} >= {0, 1}
+
+
+def test_classes_of_odd_vectors(spark):
+    df = spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", "1 as class_id", "2 as links", "3 as twice")
+    alone = [(i, i, 0) for i in range(4, 11)]
+    assert sorted(tuple(r) for r in embed_dedup.classes(df).collect()) == [(1, 1, 2), (2, 1, 2), (3, 1, 2), *alone]
+    assert embed_dedup.classes(df.limit(0)).count() == 0
+
+
+def test_op1_has_a_row_for_each_vector_and_agrees_with_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + 0.02 * rng.normal(size=(9, 8)) for c in rng.normal(size=(5, 8))])
+    spark.createDataFrame(rows_of(x), SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in registry.op1_embedding_near_dedup(spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(duck.execute(registry.OP1_SQL).fetchall()) and len(got) == 45 and max(r[2] for r in got) >= 8
