@@ -229,3 +229,62 @@ def rules_model(*makes):
 
 def test_exit_codes():
     assert [exit_code(0, False), exit_code(3, False), exit_code(3, True), exit_code(0, False, ["warning NU1901: x"]), exit_code(0, False, ["error"])] == [0, 1, 2, 0, 2]
+
+
+def _unnarrowed(facts):
+    """The same tables, which a source gives whole."""
+    from factloom.schema import TABLES, Facts
+
+    return Facts(**{n: (lambda n=n: getattr(facts, n)) for n in TABLES})
+
+
+def test_edges_of_other_types_are_left_out_before_they_are_grouped(spark):
+    from factloom.queries import facts_of, ruled
+
+    facts = facts_of(spark, "/root/testdata/sf0.001")
+    rules = ruled(lambda s: s.namespace("Star.Sales.BUILDING").must_not_reference(s.namespace("Star.Catalog.ECONOMY"), s.namespace("Geo.R1"))).build().rules
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # a semi-join moves below a grouping by itself only where it broadcasts, which large tables don't allow
+        plan = evaluate(facts, rules).violations._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    groups = [i for i, x in enumerate(plan) if "collect_set" in x]
+    semis = [i for i, x in enumerate(plan) if "LeftSemi" in x]
+    assert len(groups) == 3 and len(semis) == 6  # two ends of three parts of the family
+    depth = lambda i: len(plan[i]) - len(plan[i].lstrip(" :+-"))
+    for i in semis:
+        above = [j for j in groups if j < i]
+        assert above and depth(above[-1]) < depth(i)
+
+
+@pytest.mark.parametrize("which", ["source", "target", "both", "only", "uses"])
+def test_narrowed_facts_give_what_whole_tables_give(spark, which):
+    from factloom.queries import facts_of, ruled
+
+    facts = facts_of(spark, "/root/testdata/sf0.001")
+    sales, stock, geo = (lambda s, n=n: s.namespace(n) for n in ("Star.Sales.BUILDING", "Star.Catalog.E*", "Geo.*"))
+    orders = [r["name"] for r in facts.members.where("declaring_type = 'Star.Sales.BUILDING.Customer1' or name like 'Order7%'").select("name").collect()]
+    owners = [r["declaring_type"] for r in facts.members.where("declaring_type = 'Star.Sales.BUILDING.Customer1' or name like 'Order7%'").select("declaring_type").collect()]
+    makes = {
+        "source": [lambda s: sales(s).must_only_reference(stock(s)), lambda s: s.namespace("Star.Supply.*").must_not_reference(geo(s))],
+        "target": [lambda s: stock(s).must_only_be_referenced_by(sales(s)), lambda s: geo(s).must_not_be_referenced_by(sales(s)), lambda s: stock(s).must_not_be_referenced_by(sales(s))],
+        "both": [lambda s: sales(s).must_not_reference(stock(s)), lambda s: stock(s).must_not_be_referenced_by(s.types().with_suffix("7"))],
+        "only": [lambda s: sales(s).must_only_throw(s.project("Supply")), lambda s: stock(s).must_not_inject(s.namespace("Star.Supply.N1*")), lambda s: s.project("Supply").must_not_expose(geo(s), stock(s)), lambda s: s.project("Supply").must_not_catch(stock(s)), lambda s: sales(s).must_not_construct(s.types().of_kind("Interface"))],
+        "uses": [lambda s: s.namespace("Star.Supply.*").must_not_use(*[s.member(o, n) for o, n in zip(owners, orders)]), lambda s: s.namespace("Star.Supply.N1*").must_not_use(*[s.member(o, n) for o, n in zip(owners[:3], orders[:3])])],
+    }[which]
+    rules = ruled(*makes).build().rules
+    got, want = (evaluate(f, rules).violations.collect() for f in (facts, _unnarrowed(facts)))
+    assert got and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_facts_replaced_are_not_narrowed(spark):
+    from factloom.queries import facts_of
+    from factloom.schema import EDGES
+
+    facts = facts_of(spark, "/root/testdata/sf0.001")
+    own = spark.createDataFrame([("reference", "A", "B", []), ("catch", "A", "C", [])], EDGES)
+    names = spark.createDataFrame([("A",), ("B",)], "n string")
+    assert [(r["source"], r["target"]) for r in facts.with_(edges=own).edges_among("reference", names, names).collect()] == [("A", "B")]
+    assert facts.with_(edges=own).edges_among("reference", names, names.where("n = 'A'")).isEmpty()
