@@ -50,6 +50,34 @@ def test_type_names():
     assert names.attribute_label("N.MarkAttribute") == "[Mark]"
 
 
+@given(st.lists(st.lists(st.sampled_from(["A", "B", "C", "G<A.B>"]), min_size=1, max_size=4).map(".".join), max_size=9))
+def test_display_names_as_pairs_tell(full_names):
+    want = {}
+    for name in full_names:
+        others = [x for x in full_names if x != name and names.simple_name(x) == names.simple_name(name)]
+        k = 0
+        while k < names.segment_depth(name) and any(names.qualified_name(x, k) == names.qualified_name(name, k) for x in others):
+            k += 1
+        want[name] = names.qualified_name(name, k)
+    assert list(display_names(full_names).items()) == list(want.items())
+
+
+def test_a_rule_may_ban_very_many_members(monkeypatch):
+    calls, split = [0], names._depth_split
+
+    def counted(name):
+        calls[0] += 1
+        return split(name)
+
+    monkeypatch.setattr(names, "_depth_split", counted)
+    s = Spec()
+    s.rule("r").enforce(s.types().must_not_use(*[s.member(f"N.S{i % 7}.T{i // 2}", f"m{i}") for i in range(6_000)])).because("it is so")
+    rule = s.build().rules[0]
+    assert rule.sentence.count("`") == 12_000 and "T2999.m5999" in rule.sentence
+    assert calls[0] < 20 * 6_000  # a few times each name, not each pair of names
+    assert rule.constraint.operands[0].where.startswith("test_spec.py:")
+
+
 def test_sentences():
     s = Spec()
     web = s.layer("Web", "A.Web.*")
