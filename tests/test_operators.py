@@ -73,6 +73,28 @@ def test_dirty_closure(spark):
     assert sorted((r["project"], r["v"]) for r in incremental.refreshed(facts(1), facts(2), again).collect()) == [("a", 2), ("b", 2), ("c", 2), ("d", 1), ("e", 1)]
 
 
+@pytest.mark.parametrize("levels", [2, 16])
+def test_merkle_keys_pass_no_table_to_the_driver(spark, monkeypatch, levels):
+    import hashlib
+
+    refs = {f"p{i}": [f"p{j}" for j in {i // 2, i // 3, i - 1} if 0 < j < i] for i in range(1, 13)} | {"x": ["y", "p3"], "y": ["x"], "z": ["x", "p12"], "self": ["self"]}
+    sha = lambda *parts: hashlib.sha256("\0".join(parts).encode()).hexdigest()
+    want: dict[str, str] = {}
+    for _ in refs:  # what has all it references settles
+        want |= {p: sha(f"k{p}", *[want[r] for r in sorted(rs)]) if rs else sha(f"k{p}") for p, rs in refs.items() if p not in want and all(r in want for r in rs)}
+    want |= {p: sha(f"k{p}", "\0".join(want.get(r, "") for r in sorted(rs))) for p, rs in refs.items() if p not in want}
+    plans = []
+    monkeypatch.setattr(incremental, "written", lambda df, name, own=incremental.written: (plans.append(df._jdf.queryExecution().executedPlan().toString()), own(df, name))[1])
+    monkeypatch.setattr(incremental, "LEVELS", levels, raising=False)
+    made = F.udf(lambda p: f"k{p}").asNondeterministic()
+    keys = spark.createDataFrame([(p,) for p in refs], "project string").select("project", made("project").alias("key"))
+    projects = spark.createDataFrame(list(refs.items()), "name string, project_references array<string>")
+    got = {r["project"]: r["key"] for r in incremental.merkle_keys(keys, projects).collect()}
+    assert got == want
+    assert not [p for p in plans if "BroadcastExchange" in p]
+    assert sum("BatchEvalPython" in p for p in plans) == 1  # the keys are computed once, not in each round
+
+
 def test_extraction_cache(spark, tmp_path):
     path = str(tmp_path / "cache")
     projects = lambda names: spark.createDataFrame([(p, ["c"] if p == "a" else []) for p in names], "name string, project_references array<string>")
