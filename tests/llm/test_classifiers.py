@@ -298,3 +298,27 @@ def test_any_number_of_languages(spark):
     want = {r[0] for r in rows if r[2] not in ("l1", "l2999")}
     assert {r["doc_id"] for r in toxicity.classify_toxicity(df, model).where("toxic").collect()} == want
     assert {r["doc_id"] for r in toxicity.drop_toxic(df, model).collect()} == {1, 3}
+
+
+def test_toxicity_fit_gets_long_texts_in_pieces(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from factloom.llm import labels as samples
+
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(rng.choice(["idiot", "stupid", "river", "stone"] if i % 2 else ["river", "stone", "meadow", "cloud"], 40 + 900 * (i % 7 == 0))), "en") for i in range(300)]
+    documents = spark.createDataFrame([*texts, (300, "", "en")], "doc_id long, text string, lang string")
+    given = spark.createDataFrame([(i, i % 2) for i in range(301)], "doc_id long, toxic int")
+    whole = toxicity.fit_toxicity(documents, given)
+
+    def refuse(self):
+        raise AssertionError("a whole sample came to the driver")
+
+    monkeypatch.setattr(Classic, "toArrow", refuse)
+    monkeypatch.setattr(Classic, "collect", lambda self, own=Classic.collect: own(self) if len(self.columns) < 2 else refuse(self))
+    monkeypatch.setattr(samples, "PART_BYTES", 1 << 15, raising=False)
+    monkeypatch.setattr(toxicity, "PIECE", 700, raising=False)
+    pieces = toxicity.fit_toxicity(documents, given)
+    assert pieces.held_out == whole.held_out and pieces.held_out["rows"] == 75 and pieces.held_out["caught"] == 1.0
+    for a, b in zip([*whole.tables, *whole.filters, whole.out], [*pieces.tables, *pieces.filters, pieces.out]):
+        assert np.allclose(a, b, atol=1e-3)
