@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .batches import give_back, small_batches
 from .columns import col
-from .labels import labelled_sample
+from .labels import labelled_sample, on_disk, pieces
 from .text import U64, mix, slices, word_hashes
 
 BITS = 18
@@ -26,6 +26,8 @@ BITS = 18
 TRAIN_LIMIT = 8_000
 #: Share of good held-out documents that the threshold may reject.
 MAX_LOSS = 0.002
+#: Indicators of sampled documents that a fit works on at once.
+PIECE = 1 << 21
 
 
 @dataclass
@@ -59,13 +61,13 @@ def ngram_indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (keys & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.int64) << BITS)
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
+@F.arrow_udf(T.BinaryType())
 def _indicators(texts: pa.Array) -> pa.Array:
     parts = []
     for at, n in slices(texts):
         idx, off = ngram_indicators(texts.slice(at, n))
-        parts.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(idx)))
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        parts.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * off).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(idx))]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
 def fit_arrays(idx: np.ndarray, off: np.ndarray, y: np.ndarray, epochs: int = 12, c: float = 1.0, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -74,24 +76,33 @@ def fit_arrays(idx: np.ndarray, off: np.ndarray, y: np.ndarray, epochs: int = 12
     Each class weighs the same in sum. With one class only, the weights are 0 and the bias
     speaks for it.
     """
+    return _fit_rows(idx, off[:-1], np.diff(off), y, epochs, c, seed)
+
+
+def _fit_rows(idx: np.ndarray, starts: np.ndarray, lengths: np.ndarray, y: np.ndarray, epochs: int = 12, c: float = 1.0, seed: int = 7) -> tuple[np.ndarray, float]:
+    """fit_arrays() of rows that lie anywhere in idx."""
     size = 1 << BITS
-    row = np.repeat(np.arange(len(y)), np.diff(off))
-    good = y[row] == 1
     if not len(y) or y.min() == y.max():
         return np.zeros(size, np.float32), float(2 * y[0] - 1) if len(y) else 1.0
-    p = 1.0 + np.bincount(idx[good], minlength=size)
-    q = 1.0 + np.bincount(idx[~good], minlength=size)
+    p, q = np.ones(size), np.ones(size)
+    for own, off, at in pieces(idx, starts, lengths, PIECE):
+        good = np.repeat(y[at] == 1, np.diff(off))
+        p += np.bincount(own[good], minlength=size)
+        q += np.bincount(own[~good], minlength=size)
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    norm = 1.0 / np.sqrt(np.maximum(np.diff(off), 1))
-    value = ratio[idx] * norm[row]
-    squares = np.bincount(row, value * value, minlength=len(y)) + 1.0
+    norm = 1.0 / np.sqrt(np.maximum(lengths, 1))
+    squares = np.ones(len(y))
+    for own, off, at in pieces(idx, starts, lengths, PIECE):
+        row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        value = ratio[own] * norm[at][row]
+        squares[at] += np.bincount(row, value * value, minlength=len(off) - 1)
     upper = c * np.where(y == 1, len(y) / (2.0 * max(y.sum(), 1)), len(y) / (2.0 * max((1 - y).sum(), 1)))
     sign, alpha, w, bias = 2.0 * y - 1.0, np.zeros(len(y)), np.zeros(size), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            at = slice(off[i], off[i + 1])
-            f, x = idx[at], value[at]
+            f = idx[starts[i] : starts[i] + lengths[i]]
+            x = ratio[f] * norm[i]
             gradient = sign[i] * (w[f] @ x + bias) - 1.0
             new = min(max(alpha[i] - gradient / squares[i], 0.0), upper[i])
             step = (new - alpha[i]) * sign[i]
@@ -121,23 +132,21 @@ def fit_quality(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_LIMI
 
 
 def _fit_quality(documents: DataFrame, labels: DataFrame, limit: int, max_loss: float) -> QualityModel:
-    got = labelled_sample(documents, labels, "quality", limit).select("y", F.xxhash64("doc_id").alias("h"), _indicators("text").alias("f")).toArrow()
-    order = np.argsort(got["h"].to_numpy(), kind="stable")
-    y = got["y"].to_numpy()[order].astype(np.int64)
-    lists = got["f"].combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.list_(pa.int32()))
-    idx, off = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    if not len(y):
-        return QualityModel(np.zeros(1 << BITS, np.float32), 1.0, 0.0, {"rows": 0})
-    out = np.arange(len(y)) % 5 == 4
+    sample = labelled_sample(documents, labels, "quality", limit).select("y", F.xxhash64("doc_id").alias("h"), _indicators("text").alias("f"))
+    with on_disk(sample, "f") as (rows, off, idx):
+        return _fit_sample(rows, off, idx, max_loss)
 
-    def part(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keep = mask[np.repeat(np.arange(len(y)), np.diff(off))]
-        return idx[keep], np.concatenate([[0], np.cumsum(np.diff(off)[mask])]), y[mask]
 
-    i, o, t = part(~out)
-    weights, bias = fit_arrays(i, o, t)
-    i, o, t = part(out)
-    s = score_arrays(weights, bias, i, o)
+def _fit_sample(rows: list, off: np.ndarray, idx: np.ndarray, max_loss: float) -> QualityModel:
+    """A model of rows (y, h), in the order of h, whose indicators lie in idx."""
+    if not rows:
+        return QualityModel(np.zeros(1 << BITS, np.float32), 1.0, 0.0, {"rows": 0})
+    order = np.argsort(np.array([r["h"] for r in rows], np.int64), kind="stable")
+    y, starts, lengths = np.array([r["y"] for r in rows], np.int64)[order], off[:-1][order], np.diff(off)[order]
+    out = np.arange(len(y)) % 5 == 4
+    weights, bias = _fit_rows(idx, starts[~out], lengths[~out], y[~out])
+    t = y[out]
+    s = np.concatenate([np.zeros(0), *[score_arrays(weights, bias, own, o) for own, o, _ in pieces(idx, starts[out], lengths[out], PIECE)]])
     threshold = 0.0
     if (t == 1).any():
         # the largest threshold up to 0 that rejects no more than max_loss of the good ones

@@ -322,3 +322,25 @@ def test_toxicity_fit_gets_long_texts_in_pieces(spark, monkeypatch):
     assert pieces.held_out == whole.held_out and pieces.held_out["rows"] == 75 and pieces.held_out["caught"] == 1.0
     for a, b in zip([*whole.tables, *whole.filters, whole.out], [*pieces.tables, *pieces.filters, pieces.out]):
         assert np.allclose(a, b, atol=1e-3)
+
+
+def test_quality_fit_gets_long_texts_in_pieces(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from factloom.llm import labels as samples
+
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(f"{'good' if i % 2 else 'junk'}{x}" for x in rng.integers(0, 60, 30 + 900 * (i % 7 == 0)))) for i in range(200)]
+    documents = spark.createDataFrame([*texts, (200, "")], "doc_id long, text string")
+    given = spark.createDataFrame([(i, i % 2) for i in range(201)], "doc_id long, quality int")
+    whole = quality.fit_quality(documents, given)
+
+    def refuse(self):
+        raise AssertionError("a whole sample came to the driver")
+
+    monkeypatch.setattr(Classic, "toArrow", refuse)
+    monkeypatch.setattr(samples, "PART_BYTES", 1 << 13, raising=False)
+    monkeypatch.setattr(quality, "PIECE", 300, raising=False)
+    pieces = quality.fit_quality(documents, given)
+    assert pieces.held_out == whole.held_out and whole.held_out["rows"] == 40 and whole.held_out["good_kept"] == 1.0
+    assert np.array_equal(whole.weights, pieces.weights) and np.isclose(whole.threshold, pieces.threshold)
